@@ -74,7 +74,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int, kind: str) -> np.ndarray:
+def power(n: int, kind: str) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         base = _PRIME if kind == "up" else pow(_PRIME, -1, 1 << 64)
@@ -90,8 +90,8 @@ def span_hashes(arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     with np.errstate(over="ignore"):
         prefix = np.empty(len(arr) + 1, dtype=_U)
         prefix[0] = 0
-        np.cumsum((arr.astype(_U) + _U(1)) * _power(len(arr), "up"), out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * _power(len(arr) + 1, "down")[starts])
+        np.cumsum((arr.astype(_U) + _U(1)) * power(len(arr), "up"), out=prefix[1:])
+        return mix((prefix[ends] - prefix[starts]) * power(len(arr) + 1, "down")[starts])
 
 
 def chunks(blobs: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

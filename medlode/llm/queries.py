@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlode.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, sharding, token_file, toxicity, url_filter
+from medlode.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, repeats, sharding, token_file, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_ngram_join, op5_sharding, op6_token_file, op7_decontaminate, op8_toxicity, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_ngram_join, op4_suffix_dedup, op5_sharding, op6_token_file, op7_decontaminate, op8_toxicity, op9_language_id, op10_url_filter)}
 
 
 OP2_SQL = """
