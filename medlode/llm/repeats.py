@@ -5,15 +5,17 @@ Each byte covered by a string of LENGTH bytes that also starts elsewhere (same t
 1. Of the GRAM-byte hashes inside each LENGTH-byte window the least is the window's anchor (the leftmost of
    equals). Equal windows have equal anchors at equal places, so only anchors whose hash occurs twice matter,
    and the windows of one hash meet in one shard. Equal texts are one class, of which one row goes on.
-2. Candidate texts give a context for each such anchor: the bytes of the windows it stands for.
+2. Candidate texts give a context for each such anchor: the bytes of the windows it stands for. Contexts that
+   occur twice as a whole repeat as a whole; they are counted by digest, pre-aggregated. Only where a hash has
+   several different contexts does one of each go on.
 3. A shard's contexts become a suffix array by Larsson-Sadakane refinement in numpy: ranks of 8 bytes, then
    doubled, of which only groups that are still tied are sorted again, up to LENGTH bytes exactly. Neighbours
    with a common prefix of LENGTH bytes are repeats. Those prefixes come from the refinement's own ranks, as
    Kasai's scan is sequential and numpy can't do it; contexts of one hash lie in one shard, so shards need no
    binary search among each other.
-4. A hash in more than HOT places isn't left to one shard. Its contexts are cut into blocks of STEP windows;
+4. A hash with more than HOT different contexts isn't left to one shard. Its contexts are cut into blocks of STEP windows;
    a block repeats as a whole if all its bytes do, not at all if the bytes common to its windows don't, else
-   its windows are counted one by one. All of these are counts by content, pre-aggregated: linear in places.
+   its windows are counted one by one. All of these are counts by content, pre-aggregated: linear in contexts.
 
 Null texts are empty; texts shorter than LENGTH keep all. Repeated rows are copies. Empty tables give none.
 Positions are bytes of UTF-8, so what is kept of a character may be a part. Other columns are not read.
@@ -32,7 +34,7 @@ from medlode.llm.common import batches, mix, partitions, power, prepared, stash,
 
 LENGTH = 200
 GRAM = 48
-HOT = 512
+HOT = 2048
 STEP = 8
 #: Bytes of contexts that one suffix array holds, about; bytes of text whose windows are hashed at once.
 SHARD_BYTES = 1 << 20
@@ -139,6 +141,25 @@ def _slim(length: int):
     return slim
 
 
+def _digests(length: int):
+    """The anchors of texts, with a digest of each context."""
+
+    def digests(source):
+        for b, texts in batches(source):
+            out = [[], [], [], [], [], []]
+            for row, own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
+                for x in own:
+                    for o, v in zip(out, (row, x["h"], x["at"], x["lo"], x["hi"]), strict=False):
+                        o.append(v)
+                    # where the anchor lies in the context counts too
+                    out[5].append(hashlib.blake2b(b"%d:" % (x["at"] - x["lo"]) + t[x["lo"] : x["hi"] + length], digest_size=12).digest())
+            if out[0]:
+                kinds = [pa.int64()] * 5 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["row", "h", "at", "lo", "hi", "digest"])
+
+    return digests
+
+
 def _contexts(length: int):
     def contexts(source):
         for b, texts in batches(source):
@@ -259,17 +280,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = slim.where(F.size("anchors") > 0).select("row", "anchors").join(texts.select("row"), "row", "left_semi").select("row", F.inline("anchors"))
     often = stash(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     met = places.join(often, "h")
-    several = met.groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi", "n")).alias("anchors"))
-    several = stash(several.join(own.select("row", "text"), "row").select("row", "anchors", "text"), "candidates")
+    listed = lambda df: df.groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("anchors")).where("row >= 0")
+    several = stash(listed(met).join(own.select("row", "text"), "row").select("row", "anchors", "text"), "candidates")
 
-    def contexts(which):
-        some = several.select("row", F.transform(F.filter("anchors", which), lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("anchors"), "text")
-        return some.where(F.size("anchors") > 0).mapInArrow(_contexts(length), "h bigint, row bigint, lo bigint, at bigint, text binary")
+    # contexts that occur twice, and one of each for the hashes that have several
+    marks = stash(several.mapInArrow(_digests(length), "row bigint, h bigint, at bigint, lo bigint, hi bigint, digest binary"), "marks")
+    kinds = stash(marks.groupBy("h", "digest").agg(F.min(F.struct("row", "at", "lo", "hi")).alias("one"), F.count(F.lit(1)).alias("n")), "kinds")
+    spans = marks.join(kinds.where("n > 1").select("h", "digest"), ["h", "digest"], "left_semi").select("row", F.col("lo").alias("a"), (F.col("hi") + length).alias("z"))
+    many = stash(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "many")
+    open_ = stash(kinds.join(many, "h").select("h", "one.*", "different"), "open")
 
-    count = partitions(spark, often.where(F.col("n") <= hot).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 100_000)
-    usual = contexts(lambda x: x["n"] <= hot).repartition(count, "h").sortWithinPartitions("h")
-    spans = usual.mapInArrow(_shards(length), "row bigint, a bigint, z bigint")
-    spans = spans.unionByName(_hot_spans(contexts(lambda x: x["n"] > hot), length))
+    def contexts(which):
+        return listed(open_.where(which)).join(several.select("row", "text"), "row").select("row", "anchors", "text").mapInArrow(_contexts(length), "h bigint, row bigint, lo bigint, at bigint, text binary")
+
+    sizes = open_.agg(F.count(F.when(F.col("different") <= hot, 1)).alias("usual"), F.count(F.when(F.col("different") > hot, 1)).alias("hot")).first()
+    count = partitions(spark, sizes.usual, 100_000)
+    usual = contexts(F.col("different") <= hot).repartition(count, "h").sortWithinPartitions("h")
+    spans = spans.unionByName(usual.mapInArrow(_shards(length), "row bigint, a bigint, z bigint"))
+    if sizes.hot:
+        spans = spans.unionByName(_hot_spans(contexts(F.col("different") > hot), length))
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     done = spans.join(several.select("row", "text"), "row").select("row", "spans", "text").mapInArrow(_final(length), "row bigint, n_removed bigint, n_spans bigint, kept binary")
     done = stash(done, "done")
