@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medlode.llm.common import stash
+
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
 BLOCKS = 4096
@@ -99,30 +101,32 @@ def split(quotas: DataFrame, shards: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
-def plan(sized: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """From source and size: the sources with their numbers, and draws (source, block, drawn, shard)."""
+def plan(sized: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """From source and size: each source's target, number of blocks, whole passes and the rest."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     own = targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     unit = F.greatest(F.col("total") / float(blocks), F.lit(1.0))
     own = own.withColumn("blocks", F.greatest(F.least(F.ceil(F.col("source_size") / unit), F.col("rows")), F.lit(1)).cast("int"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     own = own.withColumn("passes", F.floor(ratio + 1e-12).cast("int")).withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-    draws = own.select("source", "blocks", "passes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return own, draws
+    return own
 
 
 def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """sized (with source and size) and for each row: source_size, target, copies, taken, shards (array<int>)."""
-    spark = sized.sparkSession
-    rank = F.xxhash64(*[F.col(k) for k in key], F.lit(11))
-    sources, draws = plan(sized.select("source", "size"), shards, blocks)
-    n = sources.count()
-    few = (lambda df: F.broadcast(df)) if n <= MAX_SOURCES else (lambda df: df)
-    placed = sized.join(few(sources.select(F.col("source").alias("s"), "source_size", "target", "blocks", "passes", "rest")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("rank", rank).withColumn("block", F.pmod(F.xxhash64("rank", F.lit(3)), F.col("blocks")).cast("int"))
+    # one pass counts the words; all plans are made from its slim table
+    sized = sized.withColumn("rank", F.xxhash64(*[F.col(k) for k in key], F.lit(11)))
+    slim = stash(sized.select("source", "size", "rank"), "sizes")
+    sources = stash(plan(slim.select("source", "size"), blocks), "sources")
+    few = (lambda df: F.broadcast(df)) if sources.count() <= MAX_SOURCES else (lambda df: df)
+    own = sources.select(F.col("source").alias("s"), "source_size", "target", "blocks", "passes", "rest")
+
+    def place(df: DataFrame) -> DataFrame:
+        df = df.join(few(own), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        return df.withColumn("block", F.pmod(F.xxhash64("rank", F.lit(3)), F.col("blocks")).cast("int"))
 
     # words and rows of each block, in the permuted order in which the source's rest is drawn
-    held = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    held = place(slim).groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.coalesce("source", F.lit("")), F.lit(5)), "block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.withColumn("need", F.col("rest") - before).withColumn("place", F.row_number().over(order))
@@ -145,12 +149,12 @@ def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: i
     held = held.select(F.col("source").alias("s"), F.col("block").alias("b"), "need", "part", spots.alias("spots"))
 
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-    dealt = placed.join(few(held), same).drop("s", "b")
-    cut = dealt.where("part = 1").select("source", "rank", "size", "need")
+    held = stash(held, "draws")
+    cut = place(slim).join(few(held), same).where("part = 1").select("source", "rank", "size", "need")
     cut = cut.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size").rangeBetween(Window.unboundedPreceding, 0)))
     # ranks up to the last that is in: rows of equal rank are in or out together
     cut = cut.withColumn("in", F.col("sum") - F.col("size") / 2 <= F.col("need")).where("in").groupBy("source").agg(F.max("rank").alias("upto"))
-    dealt = dealt.join(few(cut.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    dealt = place(sized).join(few(held), same).drop("s", "b").join(few(cut.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     extra = (F.col("part") == 2) | ((F.col("part") == 1) & F.coalesce(F.col("rank") <= F.col("upto"), F.lit(False)))
     copies = F.col("passes") + F.when(extra, 1).otherwise(0)
     out = dealt.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlode.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join, repeats, sharding, token_file, toxicity, url_filter
+from medlode.llm.common import stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def learns_language():
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"))
-    return mixing.drawn(sized).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixing.drawn(stash(sized, "sized")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
