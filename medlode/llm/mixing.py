@@ -4,7 +4,7 @@ Targets are shares of all words by weight; a source that can't reach its share w
 there, and the rest is shared anew (solved exactly from the order in which sources stop). The rows of a
 source are dealt by a hash into blocks of about total / BLOCKS words. A source draws whole passes over its
 blocks and, for the rest of its target, the first blocks of a permuted order; the last of them is drawn row
-by row until the target is met within half a row.
+by row until the target is met within half a row, and one row that fits what is left best evens it out.
 
 The draws of each source are its quota. The tree splits the quotas of all sources between the two halves of
 a range of output shards, again and again: each half gets a number of draws in proportion to its shards, and
@@ -154,11 +154,24 @@ def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: i
     cut = cut.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size").rangeBetween(Window.unboundedPreceding, 0)))
     # ranks up to the last that is in: rows of equal rank are in or out together
     cut = cut.withColumn("in", F.col("sum") - F.col("size") / 2 <= F.col("need")).where("in").groupBy("source").agg(F.max("rank").alias("upto"))
-    dealt = place(sized).join(few(held), same).drop("s", "b").join(few(cut.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    extra = (F.col("part") == 2) | ((F.col("part") == 1) & F.coalesce(F.col("rank") <= F.col("upto"), F.lit(False)))
-    copies = F.col("passes") + F.when(extra, 1).otherwise(0)
+    cut = stash(cut, "cuts")
+
+    def deal(df: DataFrame) -> DataFrame:
+        df = place(df).join(few(held), same).drop("s", "b").join(few(cut.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        return df.withColumn("extra", (F.col("part") == 2) | ((F.col("part") == 1) & F.coalesce(F.col("rank") <= F.col("upto"), F.lit(False))))
+
+    # what whole rows still leave of a source's target goes to the row, of all others, that fits it best
+    short = deal(slim).groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("short"))
+    short = stash(short.withColumnRenamed("source", "s"), "short")
+    off = F.abs(F.abs("short") - F.col("size"))
+    fit = deal(slim).join(few(short), F.col("source").eqNullSafe(F.col("s"))).where((F.col("extra") == (F.col("short") < 0)) & (off < F.abs("short")))
+    fit = stash(fit.groupBy("s").agg(F.min(F.struct(off.alias("off"), "rank")).alias("best")).select("s", F.col("best.rank").alias("flipped")), "fit")
+    dealt = deal(sized).join(few(fit), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    copies = F.col("passes") + F.when(F.col("extra") != F.coalesce(F.col("rank") == F.col("flipped"), F.lit(False)), 1).otherwise(0)
     out = dealt.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.withColumn("shards", F.slice("spots", F.lit(1), F.col("copies"))).drop("blocks", "passes", "rest", "block", "need", "part", "spots", "upto")
+    spare = F.array(F.pmod("rank", F.lit(shards)).cast("int"))
+    out = out.withColumn("shards", F.slice(F.concat("spots", spare), F.lit(1), F.col("copies")))
+    return out.drop("blocks", "passes", "rest", "block", "need", "part", "spots", "upto", "extra", "flipped")
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
