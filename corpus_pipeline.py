@@ -28,8 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
+    found = decontaminate.contamination(packed, table(spark, sf_dir, "benchmark"), keep=("doc",))
+    return found.where(~F.col("contaminated")).select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

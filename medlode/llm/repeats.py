@@ -35,6 +35,8 @@ from medlode.llm.common import batches, mix, partitions, power, prepared, stash,
 LENGTH = 200
 GRAM = 48
 HOT = 2048
+#: Rows of spare copies that are broadcast (8 bytes each); more of them meet the anchors by shuffle.
+SPARE = 1_000_000
 STEP = 8
 #: Bytes of contexts that one suffix array holds, about; bytes of text whose windows are hashed at once.
 SHARD_BYTES = 1 << 20
@@ -277,11 +279,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = stash(own.mapInArrow(_slim(length), f"row bigint, id bigint, n_bytes bigint, sha binary, anchors {_ANCHORS}"), "anchors")
     texts = slim.groupBy("sha").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
     texts = stash(texts, "texts")
-    places = slim.where(F.size("anchors") > 0).select("row", "anchors").join(texts.select("row"), "row", "left_semi").select("row", F.inline("anchors"))
+    copies = texts.where("copies > 1").select("sha", F.col("row").alias("kept"))
+    spare = stash(slim.select("row", "sha").join(copies, "sha").where("row <> kept").select("row"), "spare")
+    spare = F.broadcast(spare) if spare.count() <= SPARE else spare
+    places = slim.where(F.size("anchors") > 0).select("row", "anchors").join(spare, "row", "left_anti").select("row", F.inline("anchors"))
     often = stash(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     met = places.join(often, "h")
-    listed = lambda df: df.groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("anchors")).where("row >= 0")
-    several = stash(listed(met).join(own.select("row", "text"), "row").select("row", "anchors", "text"), "candidates")
+    listed = lambda df: df.groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("anchors"))
+    several = stash(stash(listed(met), "met").where("row >= 0").join(own.select("row", "text"), "row").select("row", "anchors", "text"), "candidates")
 
     # contexts that occur twice, and one of each for the hashes that have several
     marks = stash(several.mapInArrow(_digests(length), "row bigint, h bigint, at bigint, lo bigint, hi bigint, digest binary"), "marks")
