@@ -46,7 +46,8 @@ def _words(blobs: list[bytes]):
         word = span_hashes(arr, first + 1, last)
         new[1:] = (word[1:] != word[:-1]) | np.isin(np.arange(1, len(first)), np.searchsorted(first, begins))
     live = np.zeros(len(arr), np.int8)
-    live[first[new]], live[last[new]] = 1, -1
+    live[first[new]] += 1
+    live[last[new]] -= 1
     live = np.cumsum(live, dtype=np.int8) > 0
     first, last = first[new], last[new]
     offsets = np.append(np.searchsorted(first, begins), len(first))
@@ -94,7 +95,7 @@ class Model:
         np.maximum.at(worst, blob, score)
         self._calibrate(worst, y)
 
-    def _fit(self, bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int = 2, batch: int = 256) -> None:
+    def _fit(self, bags: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int = 3, batch: int = 256) -> None:
         vectors = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
         soft = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
         bias = np.zeros(2, np.float32)
