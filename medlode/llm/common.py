@@ -24,8 +24,14 @@ _U = np.uint64
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Keeps the session's Arrow batches small, so that a worker's memory is bounded by texts, not rows."""
+    """Keeps the session's Arrow batches small, so that a worker's memory is bounded by texts, not rows.
+
+    How Spark cuts files depends on the cores it has at that time, unless a least number of pieces is set. It
+    is set here: row numbers by place in a scan must stay the same when executors are lost between two scans.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.shuffle.partitions"))
     # a join of few rows with all texts drops the other texts before the shuffle
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "10MB")
     return spark

@@ -95,7 +95,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     purity = F.lit(PRIOR)
     for level in ["every", "domain", "host", *[f"t{k}" for k in range(depth)]]:
         known = tree.groupBy(F.col(level).alias("key")).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        tree = tree.join(known, F.col(level) == F.col("key"), "left").drop("key")
+        # the level of all urls has one row
+        tree = tree.join(F.broadcast(known) if level == "every" else known, F.col(level) == F.col("key"), "left").drop("key")
         tree = tree.withColumn(f"p_{level}", (F.col("b") + WEIGHT * purity) / (F.col("l") + WEIGHT)).drop("b", "l")
         purity = SHARE * F.col(f"p_{level}") + (1 - SHARE) * F.lit(PRIOR)
     found = tree.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col(f"t{depth - 1}").alias("template"), F.col(f"p_t{depth - 1}").alias("purity"))
