@@ -2,8 +2,8 @@
 
 The key of a row is a hash of its text and, inside a text, a hash of its id, so equal texts are neighbours
 and even the copies of one text can be cut anywhere. A sample of keys, each in proportion to its size, gives
-quantiles as splitters: RANGES of them whatever the input, SHARDS times as fine as shards at least. Records
-are range-partitioned by them. A splitter moves to the beginning of its text unless that text holds several
+quantiles as splitters: a range for each RANGE_BYTES of the input, RANGES at least and MOST_RANGES at most
+(their tables are broadcast, and hold 24 bytes a range). Records are range-partitioned by them. A splitter moves to the beginning of its text unless that text holds several
 splitters; so a text lies in one range unless it is as large as ranges are.
 
 Sizes of ranges (one row each) give the bytes before each range; inside its range each record counts on. A
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from medlode.llm.common import partitions, stash
 
 SHARDS = 16
-#: Ranges, and sampled keys a range on average.
-RANGES = 1024
+#: Ranges at least and at most, the bytes that one should hold, and sampled keys a range on average.
+RANGES, MOST_RANGES = 1024, 1 << 17
+RANGE_BYTES = 128 << 20
 SAMPLED = 12
 
 
@@ -68,12 +69,15 @@ def splitters(keys: DataFrame, ranges: int = RANGES, sampled: int = SAMPLED) ->
     return row.select(moved.alias("cuts"))
 
 
-def shards(docs: DataFrame, count: int = SHARDS, ranges: int = RANGES, text_col: str = "text", id_col: str = "doc_id", carry: bool = False) -> DataFrame:
+def shards(docs: DataFrame, count: int = SHARDS, ranges: int | None = None, text_col: str = "text", id_col: str = "doc_id", carry: bool = False) -> DataFrame:
     """One row per record: id (or, with carry, all columns), size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
     own = keyed(docs, text_col, id_col)
     own = own if carry else own.withColumn("doc", F.struct(F.col(f"doc.{id_col}").alias(id_col)))
     keys = stash(own.select("a", "b", "size"), "keys") if carry else (own := stash(own, "keys"))
+    if ranges is None:
+        total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        ranges = min(max(RANGES, -(-total // RANGE_BYTES)), MOST_RANGES)
     cuts = F.broadcast(splitters(keys, ranges))
     place = _below(F.col("cuts"), F.struct(F.col("a"), F.col("b")), ranges.bit_length()).alias("range")
     held = keys.crossJoin(cuts).groupBy(place).agg(F.sum("size").alias("bytes"))
