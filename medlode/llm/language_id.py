@@ -4,23 +4,25 @@ Each language has a codeword; one binary classifier over byte n-grams predicts e
 by gradient descent in numpy on at most SAMPLE labelled rows. Decoding takes the codeword with the least loss,
 bits weighted by how well they did in training, and flags the row as ambiguous when the next one is close.
 
-The languages are the values of the label column; each contributes an equal share of the sample, drawn by a
-hash of the text so that reruns agree. Rows of the sample have at most SAMPLE_BYTES bytes; predictions read
-whole texts. Null texts and texts without letters are `und`, score 0. With no labelled row at all every
-prediction is `und`; with one language it is that one. Repeated rows get equal results, empty tables none.
+The languages are the values of the label column; each contributes an equal share of the sample, or all it
+has, drawn from its different texts by a hash so that reruns agree; copies of a text count once. Where there
+are more languages than SAMPLE, each has one row. Rows of the sample have at most SAMPLE_BYTES bytes;
+predictions read whole texts. Null texts and texts without letters are `und`, score 0. With no labelled row at
+all every prediction is `und`; with one language it is that one. Repeated rows get equal results, empty tables
+none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, prepared, text_bytes
+from medlode.llm.common import batches, chunks, prepared, stash, text_bytes
 from medlode.llm.ngram_scores import hashed, joined, sums
 
-#: Labelled rows that training gathers at most, and their largest size.
+#: Labelled rows that training gathers at most (but one a language), and their largest size.
 SAMPLE = 3000
 SAMPLE_BYTES = 1 << 17
 SIZES = (1, 2, 3, 4)
@@ -111,15 +113,21 @@ def has_letter(text: str) -> Column:
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model from the rows of docs where learn holds."""
     own = docs.where(learn & F.col(lang_col).isNotNull() & has_letter(text_col)).select(F.col(lang_col).cast("string").alias("lang"), text_bytes(text_col).alias("text"))
-    own = own.where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = own.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    # a text counts once in a language, however many rows hold it
+    texts = stash(own.select("lang", "digest").distinct(), "texts")
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model([], [])
     each = max(1, sample // len(counts))
-    ceil = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * each / n))])[F.col("lang")]
-    rank = F.xxhash64("text")
-    near = own.where(F.pmod(rank, F.lit(1 << 30)) < ceil * (1 << 30)).orderBy(rank, "text").limit(sample)
-    rows = near.collect()
+    # so many that fewer than `each` of a language that has them don't occur
+    most = each + 8 * each**0.5 + 24
+    ceil = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most / n))])[F.col("lang")]
+    rank = F.xxhash64("digest")
+    near = texts.where(F.pmod(rank, F.lit(1 << 30)) < ceil * (1 << 30))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(rank, F.lit(1 << 30)), "digest"))).where(F.col("place") <= each).drop("place")
+    rows = own.join(F.broadcast(near), ["lang", "digest"]).groupBy("lang", "digest").agg(F.first("text").alias("text")).collect()
+    rows.sort(key=lambda r: (bytes(r.digest), r.lang))
     return Model([bytes(r.text) for r in rows], [r.lang for r in rows])
 
 

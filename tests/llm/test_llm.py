@@ -264,6 +264,16 @@ def test_language_id(spark, odd, docs, none):
     assert min((code[i] != code[j]).sum() for i in range(12) for j in range(i)) > 10
 
 
+def test_language_sample(spark, monkeypatch):
+    """Copies of one text take one place of their language's share and none of the others'."""
+    rows = [("aa", "hot text")] * 3000 + [("aa", f"aa {k}") for k in range(20)] + [(lang, f"{lang} {k}") for lang in ("bb", "cc") for k in range(40)] + [("dd", "one")]
+    monkeypatch.setattr(language_id, "Model", lambda blobs, labels: list(zip(labels, blobs, strict=True)))
+    got = language_id.train(spark.createDataFrame(rows, "lang string, text string").repartition(4), F.lit(True), sample=120)
+    assert collections.Counter(x for x, _ in got) == {"aa": 21, "bb": 30, "cc": 30, "dd": 1} and len(set(got)) == len(got)
+    got = language_id.train(spark.createDataFrame([(f"l{k}", f"text {k} {j}") for k in range(12) for j in range(30)], "lang string, text string"), F.lit(True), sample=12)
+    assert len(got) == len({x for x, _ in got}) == 12
+
+
 def test_toxicity(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     rows = queries.op8_toxicity(spark, sf).collect()
