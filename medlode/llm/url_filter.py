@@ -6,9 +6,14 @@ fitting rule decides. All urls that rules decide are the labelled ones from whic
 The tree of a host has a node for each prefix of at most DEPTH path segments. Segments that vary become
 wildcards: those with digits at once, and all segments under a node that has more than FAN different ones.
 Of the rest, branches whose labelled share of blocks does not differ from their siblings' by Z standard
-errors are merged into a wildcard too. Templates are judged by their labelled purity, smoothed towards that of
-the template above, up to the host, the domain (the last two labels of the host) and all urls; a url is
-blocked when its template's is THRESHOLD or more.
+errors are merged into a wildcard too. Templates are judged by their labelled purity, smoothed towards what the
+templates above, the host and the domain (the last two labels of the host, so that hosts under a suffix like
+co.uk share one) tell; a url is blocked when its template's is THRESHOLD or more.
+
+What a level tells those below it is counted by rules, not urls: all urls of one rule have one label, and a
+rule for one path says little of the others. Rules that a template has itself don't count again above it. So
+one rule never blocks other paths, but several that block, with none that allows, block their host's or
+domain's unruled urls. All urls together tell nothing, lest rules that only block would block everything.
 
 Null urls and urls without `://` have an empty host and path, and are judged as such. With no labelled urls
 purity is the prior, and all are allowed. Repeated rows get equal results, an empty table none. Only counts
@@ -27,9 +32,9 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DEPTH = 3
 FAN = 50
 Z = 2.0
-#: A template's purity is that of as many labelled urls more as WEIGHT, of which so many are blocked: PRIOR,
-#: drawn by SHARE towards the template above. So a template without labelled urls of its own isn't rejected.
-PRIOR, WEIGHT, SHARE = 0.2, 4.0, 0.35
+#: A template's purity is that of as many labelled urls more as WEIGHT, blocked as the level above tells, where
+#: again WEIGHT rules are added to the level's own; at the top PRIOR of them are blocked.
+PRIOR, WEIGHT = 0.2, 4.0
 THRESHOLD = 0.5
 
 
@@ -91,14 +96,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     seen = seen.withColumn("labelled", F.when(F.col("ruled").isNotNull(), F.col("n")).otherwise(0)).withColumn("blocked", F.when(F.col("ruled") == "block", F.col("n")).otherwise(0))
     seen = stash(seen, "urls")
     tree = templates(seen, depth, fan, z)
-    tree = stash(tree.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("every", F.lit("all")), "tree")
+    tree = stash(tree.withColumn("domain", F.substring_index("host", ".", -2)), "tree")
+    levels = ["domain", "host", *[f"t{k}" for k in range(depth)]]
+    rules_of = lambda which: F.size(F.collect_set(F.when(which, F.col("rule"))))
+    for level in levels:
+        known = tree.groupBy(F.col(level).alias("key")).agg(
+            F.sum("blocked").alias(f"b_{level}"), F.sum("labelled").alias(f"l_{level}"), rules_of(F.col("ruled") == "block").alias(f"rb_{level}"), rules_of(F.col("ruled").isNotNull()).alias(f"rl_{level}")
+        )
+        tree = tree.join(known, F.col(level) == F.col("key"), "left").drop("key")
+    # the rules of a level that aren't those of the level below it; a level has all rules of the one below
     purity = F.lit(PRIOR)
-    for level in ["every", "domain", "host", *[f"t{k}" for k in range(depth)]]:
-        known = tree.groupBy(F.col(level).alias("key")).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        # the level of all urls has one row
-        tree = tree.join(F.broadcast(known) if level == "every" else known, F.col(level) == F.col("key"), "left").drop("key")
-        tree = tree.withColumn(f"p_{level}", (F.col("b") + WEIGHT * purity) / (F.col("l") + WEIGHT)).drop("b", "l")
-        purity = SHARE * F.col(f"p_{level}") + (1 - SHARE) * F.lit(PRIOR)
-    found = tree.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col(f"t{depth - 1}").alias("template"), F.col(f"p_t{depth - 1}").alias("purity"))
+    for level, below in zip(levels, levels[1:], strict=False):
+        more = lambda kind: F.col(f"{kind}_{level}") - F.col(f"{kind}_{below}")  # noqa: B023, E731
+        purity = (more("rb") + WEIGHT * purity) / (more("rl") + WEIGHT)
+    tree = tree.withColumn("purity", (F.col(f"b_{levels[-1]}") + WEIGHT * purity) / (F.col(f"l_{levels[-1]}") + WEIGHT))
+    found = tree.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col(f"t{depth - 1}").alias("template"), "purity")
     found = own.join(found, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= THRESHOLD, "block").otherwise("allow")).alias("verdict"), "template", "purity")

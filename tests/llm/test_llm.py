@@ -301,6 +301,16 @@ def test_url_filter(spark):
     assert {r.template for r in url_filter.judge(many).collect()} == {"example.com/de/*/z"}
 
 
+def test_url_evidence(spark):
+    """Rules that agree on a host or domain reach its unruled urls; one rule for a path does not."""
+    rules = [("h.bad.com", f"/{x}/", "block") for x in "abcde"] + [(f"{x}.farm.com", "/", "block") for x in "abcde"] + [("one.org", "/de/", "block")] + [("mix.net", f"/{x}/", "block" if x < "d" else "allow") for x in "abcdef"]
+    urls = [f"http://{h}{p}x" for h, p, _ in rules] * 20 + [f"http://one.org/de/{x}" for x in "abcdefgh"]
+    open_ = {"http://h.bad.com/z/page": "block", "http://h.bad.com/": "block", "http://new.farm.com/q": "block", "http://one.org/en/": "allow", "http://mix.net/z/": "allow", "http://else.com/a/": "allow"}
+    rows = spark.createDataFrame(list(enumerate([*open_, *urls])), "page_id int, url string")
+    got = {r.page_id: r for r in url_filter.judge(rows, rules=rules).collect()}
+    assert all(got[k].rule is None for k in range(len(open_))) and [got[k].verdict for k in range(len(open_))] == list(open_.values())
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = corpus_pipeline.run(spark, SF).collect()
