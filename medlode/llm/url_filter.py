@@ -3,10 +3,11 @@
 Rules come first: a rule fits its host and all its subdomains if the path begins with the rule's; the longest
 fitting rule decides. All urls that rules decide are the labelled ones from which the tree learns.
 
-The tree of a host has a node for each prefix of at most DEPTH path segments. Segments that vary become
-wildcards: those with digits at once, and all segments under a node that has more than FAN different ones.
-Of the rest, branches whose labelled share of blocks does not differ from their siblings' by Z standard
-errors are merged into a wildcard too. Templates are judged by their labelled purity, smoothed towards what the
+The tree of a host has a node for each prefix of at most DEPTH path segments, or as many as the longest rule
+has: no rule tells longer paths apart. Segments with digits become wildcards at once. Labelled branches whose
+share of blocks does not differ from their labelled siblings' by Z standard errors are merged into a wildcard,
+others stay. Unlabelled branches are never merged with labelled ones, so these can't decide them; where they
+are more than FAN they are merged among each other, which names templates but changes no verdict. Templates are judged by their labelled purity, smoothed towards what the
 templates above, the host and the domain (the last two labels of the host, so that hosts under a suffix like
 co.uk share one) tell; a url is blocked when its template's is THRESHOLD or more.
 
@@ -66,27 +67,30 @@ def _segment(path: Column, k: int) -> Column:
 def templates(urls: DataFrame, depth: int = DEPTH, fan: int = FAN, z: float = Z) -> DataFrame:
     """urls with template columns t0, t1, ..., each the node of its level.
 
-    urls needs host, path, blocked and labelled (0 or 1).
+    urls needs host, path, blocked and labelled (0 or 1). Nodes with labelled urls and those without are kept
+    apart (known0, known1, ...), as wildcards of both can have the same name.
     """
-    urls = urls.withColumns({f"s{k}": _segment(F.col("path"), k) for k in range(depth)}).withColumn("node", F.col("host"))
+    urls = urls.withColumns({f"s{k}": _segment(F.col("path"), k) for k in range(depth)}).withColumns({"node": F.col("host"), "known": F.lit(True)})
     for k in range(depth):
-        branch = urls.where(F.col(f"s{k}").isNotNull()).groupBy("node", F.col(f"s{k}").alias("segment")).agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-        whole = branch.groupBy("node").agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"), F.count(F.lit(1)).alias("branches"))
-        joined = branch.join(whole, "node")
+        branch = urls.where(F.col(f"s{k}").isNotNull()).groupBy("node", "known", F.col(f"s{k}").alias("segment")).agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+        whole = branch.groupBy("node", "known").agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"), F.count(F.when(F.col("labelled") == 0, 1)).alias("unlabelled"))
+        joined = branch.join(whole, ["node", "known"])
         others, other_blocks = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
         pooled = (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
         apart = F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - other_blocks / F.greatest(others, F.lit(1)))
-        alike = (F.col("labelled") > 0) & (others > 0) & (apart <= z * error) & (F.col("branches") > 1)
-        segment = F.when((F.col("branches") > fan) | alike, F.lit("*")).otherwise(F.col("segment"))
-        own = joined.select(F.col("node").alias("at"), F.col("segment").alias("was"), F.concat("node", F.lit("/"), segment).alias("template"))
-        urls = urls.join(own, (F.col("node") == F.col("at")) & (F.col(f"s{k}") == F.col("was")), "left").drop("at", "was")
-        urls = urls.withColumn(f"t{k}", F.coalesce("template", "node")).withColumn("node", F.col(f"t{k}")).drop("template")
+        alike = (F.col("labelled") > 0) & (others > 0) & (apart <= z * error)
+        rest = (F.col("labelled") == 0) & (F.col("unlabelled") > fan)
+        segment = F.when(rest | alike, F.lit("*")).otherwise(F.col("segment"))
+        own = joined.select(F.col("node").alias("at"), F.col("known").alias("of"), F.col("segment").alias("was"), F.concat("node", F.lit("/"), segment).alias("template"), (F.col("labelled") > 0).alias("now"))
+        urls = urls.join(own, (F.col("node") == F.col("at")) & (F.col("known") == F.col("of")) & (F.col(f"s{k}") == F.col("was")), "left").drop("at", "of", "was")
+        urls = urls.withColumns({f"t{k}": F.coalesce("template", "node"), f"known{k}": F.coalesce("now", "known")}).withColumns({"node": F.col(f"t{k}"), "known": F.col(f"known{k}")}).drop("template", "now")
     return urls
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = DEPTH, fan: int = FAN, z: float = Z) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, template, purity."""
+    depth = max([depth, *(len([x for x in p.split("/") if x]) for _, p, _ in rules)])
     url = F.col(url_col).cast("string")
     own = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -100,10 +104,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     levels = ["domain", "host", *[f"t{k}" for k in range(depth)]]
     rules_of = lambda which: F.size(F.collect_set(F.when(which, F.col("rule"))))
     for level in levels:
-        known = tree.groupBy(F.col(level).alias("key")).agg(
+        apart = F.col(level.replace("t", "known")) if level[1:].isdigit() else F.lit(True)
+        known = tree.groupBy(F.col(level).alias("key"), apart.alias("labels")).agg(
             F.sum("blocked").alias(f"b_{level}"), F.sum("labelled").alias(f"l_{level}"), rules_of(F.col("ruled") == "block").alias(f"rb_{level}"), rules_of(F.col("ruled").isNotNull()).alias(f"rl_{level}")
         )
-        tree = tree.join(known, F.col(level) == F.col("key"), "left").drop("key")
+        tree = tree.join(known, (F.col(level) == F.col("key")) & (apart == F.col("labels")), "left").drop("key", "labels")
     # the rules of a level that aren't those of the level below it; a level has all rules of the one below
     purity = F.lit(PRIOR)
     for level, below in zip(levels, levels[1:], strict=False):

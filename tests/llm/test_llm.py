@@ -311,6 +311,20 @@ def test_url_evidence(spark):
     assert all(got[k].rule is None for k in range(len(open_))) and [got[k].verdict for k in range(len(open_))] == list(open_.values())
 
 
+@pytest.mark.parametrize("n", [40, 120])
+def test_url_fan_and_depth(spark, n):
+    """Neither many branches nor long paths let labelled urls decide their unruled siblings."""
+    rules = [("example.com", "/de/", "block"), ("deep.com", "/a/b/c/d/", "block")]
+    names = [f"{'abcdefghijkl'[k % 12]}{'abcdefghijkl'[k // 12]}x" for k in range(n)]
+    urls = [f"http://example.com/{x}/{k}.html" for x in names for k in range(3)] + [f"http://deep.com/a/b/c/e/{k}" for k in range(3)]
+    ruled = [f"http://example.com/de/{k}.html" for k in range(30)] + [f"http://deep.com/a/b/c/d/{k}" for k in range(30)]
+    rows = spark.createDataFrame(list(enumerate(urls + ruled)), "page_id int, url string")
+    got = {r.page_id: r for r in url_filter.judge(rows, rules=rules).collect()}
+    assert len(got) == len(urls + ruled) and {got[k].verdict for k in range(len(urls))} == {"allow"}
+    assert {got[k].verdict for k in range(len(urls), len(got))} == {"block"}
+    assert {got[k].template for k in range(len(urls), len(urls) + 30)} == {"example.com/de/*"} and ("example.com/*/*" in {r.template for r in got.values()}) == (n > url_filter.FAN)
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = corpus_pipeline.run(spark, SF).collect()
