@@ -12,8 +12,8 @@ which of them is a multivariate hypergeometric sample, drawn from an urn with ha
 go to shards in permuted order of their source, so the blocks of two shards are disjoint but for repeats.
 
 Plan tables hold a row a source and a row a draw, at most BLOCKS + 4 a source: they are broadcast only while
-sources number MAX_SOURCES at most, else joined by shuffle. Documents aren't shuffled but for the rows (id
-and size) of the one block a source that is cut.
+sources number MAX_SOURCES at most, else joined by shuffle. For the plan no documents are shuffled
+but the rows (id and size) of the one block a source that is cut; `mix` shuffles each copy once to its shard.
 
 Null sources are a source of their own; null and empty texts have size 0; with no words at all every target
 is 0. Rows of size 0 are taken with their block but weigh nothing. Equal rows are drawn alike. An empty table
@@ -27,13 +27,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlode.llm.common import stash
+from medlode.llm.common import partitions, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
 BLOCKS = 4096
 SHARDS = 16
 MAX_SOURCES = 5_000
+#: About how many rows a partition of the mixture has.
+PART_ROWS = 10_000
 _UNIT = 1 << 40
 
 
@@ -114,6 +116,11 @@ def plan(sized: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
 def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """sized (with source and size) and for each row: source_size, target, copies, taken, shards (array<int>)."""
+    return _drawn(sized, key, shards, blocks)[0]
+
+
+def _drawn(sized: DataFrame, key: tuple[str, ...], shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """What `drawn` returns, and about how many rows and words each shard gets."""
     # one pass counts the words; all plans are made from its slim table
     sized = sized.withColumn("rank", F.xxhash64(*[F.col(k) for k in key], F.lit(11)))
     slim = stash(sized.select("source", "size", "rank"), "sizes")
@@ -126,7 +133,7 @@ def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: i
         return df.withColumn("block", F.pmod(F.xxhash64("rank", F.lit(3)), F.col("blocks")).cast("int"))
 
     # words and rows of each block, in the permuted order in which the source's rest is drawn
-    held = place(slim).groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    held = place(slim).groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.coalesce("source", F.lit("")), F.lit(5)), "block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.withColumn("need", F.col("rest") - before).withColumn("place", F.row_number().over(order))
@@ -146,10 +153,12 @@ def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: i
     held = held.withColumn("first_draw", last - F.col("draws")).join(few(ranges.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     where = lambda k: F.element_at(F.filter("ranges", lambda r: r["to"] > F.col("first_draw") + k), 1)["shard"]
     spots = F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("draws") - 1, F.lit(0))), where)).otherwise(F.array().cast("array<int>"))
-    held = held.select(F.col("source").alias("s"), F.col("block").alias("b"), "need", "part", spots.alias("spots"))
+    held = held.select(F.col("source").alias("s"), F.col("block").alias("b"), "need", "part", "rows", "words", spots.alias("spots"))
 
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     held = stash(held, "draws")
+    loads = held.select("rows", "words", F.explode("spots").alias("shard")).where(F.col("shard").isNotNull()).groupBy("shard").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+    held = held.drop("rows", "words")
     cut = place(slim).join(few(held), same).where("part = 1").select("source", "rank", "size", "need")
     cut = cut.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size").rangeBetween(Window.unboundedPreceding, 0)))
     # ranks up to the last that is in: rows of equal rank are in or out together
@@ -171,15 +180,27 @@ def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: i
     out = dealt.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     spare = F.array(F.pmod("rank", F.lit(shards)).cast("int"))
     out = out.withColumn("shards", F.slice(F.concat("spots", spare), F.lit(1), F.col("copies")))
-    return out.drop("blocks", "passes", "rest", "block", "need", "part", "spots", "upto", "extra", "flipped")
+    return out.drop("blocks", "passes", "rest", "block", "need", "part", "spots", "upto", "extra", "flipped"), loads
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The mixture itself: docs' columns, a row for each copy that is taken, in its shard's shuffled order.
 
+    Each partition holds rows of one shard; a shard has several where it is large, each in shuffled order.
+
     The columns are packed in one before the work, so their names can't clash.
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     own = own.select("doc", F.col(f"doc.{source_col}").cast("string").alias("source"), word_count(F.col(f"doc.{text_col}")).alias("size"), F.col(f"doc.{id_col}").alias("doc_id"))
-    copies = drawn(own, ("doc_id", "size"), shards, blocks).where("copies > 0").select("doc", "rank", F.posexplode("shards").alias("copy", "shard"))
-    return copies.sortWithinPartitions("shard", F.xxhash64("rank", "copy", "shard")).select("doc.*")
+    out, loads = _drawn(own, ("doc_id", "size"), shards, blocks)
+    copies = out.where("copies > 0").select("doc", "rank", F.posexplode("shards").alias("copy", "shard"))
+    # a shard has partitions of its own, as many as its share of rows or words asks for
+    loads = {r.shard: (r.rows, r.words) for r in loads.collect()}
+    rows, words = (max(1, sum(x[k] for x in loads.values())) for k in (0, 1))
+    count = partitions(docs.sparkSession, rows, PART_ROWS)
+    pieces = [max(1, math.ceil(count * max(loads.get(k, (0, 0))[0] / rows, loads.get(k, (0, 0))[1] / words))) for k in range(shards)]
+    place = lambda of: F.get(F.array(*map(F.lit, of)), F.col("shard"))
+    # by the row's place, as equal rows may be a large share of a shard
+    piece = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(13)), place(pieces))
+    copies = copies.withColumn("part", (place([sum(pieces[:k]) for k in range(shards)]) + piece).cast("int"))
+    return copies.repartitionById(sum(pieces), "part").sortWithinPartitions("shard", F.xxhash64("rank", "copy", "shard")).select("doc.*")

@@ -174,6 +174,20 @@ def test_mixing(spark, odd, docs, none):
     assert mixing.mix(odd).count() == sum(len(r.shards) for r in mixing.drawn(odd.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))).collect())
 
 
+def test_mixing_deals_shards(spark):
+    """Each partition of the mixture holds rows of one shard, and a shard rows of all sources, though the input is clustered."""
+    rows = [(k, f"s{k // 2000}", f"word{k}") for k in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id int, source string, text string").repartitionByRange(3, "source")
+    sized = mixing.drawn(table.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), shards=4, blocks=64)
+    shards = {r.doc_id: r.shards for r in sized.collect()}
+    held = collections.defaultdict(list)
+    for r in mixing.mix(table, shards=4, blocks=64).withColumn("part", F.spark_partition_id()).collect():
+        held[r.part].append(r)
+    assert sorted(r.doc_id for x in held.values() for r in x) == sorted(k for k, x in shards.items() for _ in x)
+    for x in held.values():
+        assert set.intersection(*(set(shards[r.doc_id]) for r in x)) and len({r.source for r in x}) == 3
+
+
 def test_sharding(spark, odd, docs, none):
     for table in (odd, docs):
         rows = sharding.shards(table).collect()
