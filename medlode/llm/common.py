@@ -38,18 +38,42 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse.
+
+    A warehouse on a local disk is shared only if driver and executors are one machine, else this is an error.
+    """
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_medlode"
+    if own:
+        return own
+    house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and (":" not in house or house.startswith("file:")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return house + "/_medlode"
+
+
+_stashed: list[str] = []
 
 
 def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/stash/{name}-{uuid.uuid4().hex}"
+    _stashed.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has stashed. Only for callers that have written their results."""
+    while _stashed:
+        delete(spark, _stashed.pop())
+
+
 def text_bytes(text: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
@@ -77,27 +101,79 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+#: Two primes below 2^31 and a base for each: words are hashed modulo both, which no fixed pattern of bytes defeats
+#: as it does arithmetic modulo 2^64.
+_LANES = ((2147483647, 1103515245), (2147483629, 1566083941))
+_STRETCH = 1 << 16
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def power(n: int, kind: str) -> np.ndarray:
-    have = _powers.get(kind)
+def _power(n: int, lane: int, down: bool) -> np.ndarray:
+    """The first n powers of a lane's base, or of its inverse."""
+    have = _powers.get((lane, down))
     if have is None or len(have) < n:
-        base = _PRIME if kind == "up" else pow(_PRIME, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            steps = np.full(max(n, 1 << 16), base, dtype=_U)
-            steps[0] = 1
-            have = _powers[kind] = np.multiply.accumulate(steps)
+        prime, base = _LANES[lane]
+        step, have = pow(base, -1, prime) if down else base, np.ones(1, _U)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, have * _U(pow(step, len(have), prime)) % _U(prime)])
+        _powers[lane, down] = have
     return have[:n]
 
 
+#: Spans of so many bytes at most have different hashes.
+EXACT = 7
+
+
 def span_hashes(arr: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each arr[start:end], from one prefix sum over arr."""
+    """A 64-bit hash of each arr[start:end].
+
+    Those of short spans are their bytes, spread. Equal hashes of different longer spans are unlikely, not
+    impossible: where it matters, same_spans compares them.
+    """
+    size = ends - starts
+    key = np.minimum(size, EXACT).astype(_U) << _U(56)
+    padded = np.concatenate([arr, np.zeros(EXACT, np.uint8)])
+    for k in range(EXACT):
+        key |= (padded[starts + k] * (size > k)).astype(_U) << _U(8 * k)
+    long = np.flatnonzero(size > EXACT)
+    if len(long):
+        key[long] = _long_hashes(arr, starts[long], size[long])
+    return mix(key)
+
+
+def _flat(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes of spans are, one span after the other, and where each begins there."""
+    first = np.cumsum(size) - size
+    return np.repeat(starts - first, size) + np.arange(size.sum()), first
+
+
+def _long_hashes(arr: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """From prefix sums modulo two primes; the highest bit is set."""
+    at, first = _flat(starts, size)
+    data, lanes = arr[at].astype(_U) + _U(1), []
+    for lane, (prime, _) in enumerate(_LANES):
+        up, carry = _power(len(data), lane, False), _U(0)
+        prefix = np.zeros(len(data) + 1, _U)
+        for k in range(0, len(data), _STRETCH):
+            part = np.cumsum(data[k : k + _STRETCH] * up[k : k + _STRETCH]) + carry
+            prefix[k + 1 : k + 1 + len(part)] = part
+            carry = part[-1] % _U(prime)
+        span = (prefix[first + size] % _U(prime) + _U(prime) - prefix[first] % _U(prime)) % _U(prime)
+        lanes.append(span * _power(len(data) + 1, lane, True)[first] % _U(prime))
     with np.errstate(over="ignore"):
-        prefix = np.empty(len(arr) + 1, dtype=_U)
-        prefix[0] = 0
-        np.cumsum((arr.astype(_U) + _U(1)) * power(len(arr), "up"), out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * power(len(arr) + 1, "down")[starts])
+        return mix((lanes[0] << _U(31) | lanes[1]) ^ (size.astype(_U) * _U(_PRIME))) | _U(1 << 63)
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Which spans a[start:end] have the same bytes as b[start:end] at the same place of the lists."""
+    size = a_ends - a_starts
+    same = size == b_ends - b_starts
+    for part in np.array_split(np.flatnonzero(same & (size > 0)), max(1, int(size.sum()) >> 20)):
+        if len(part):
+            at, first = _flat(a_starts[part], size[part])
+            differ = a[at] != b[_flat(b_starts[part], size[part])[0]]
+            same[part] = ~np.logical_or.reduceat(differ, first)
+    return same
 
 
 def chunks(blobs: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -132,19 +208,48 @@ def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         parts = [(k, p) for k in range(i, j) for p in _pieces(blobs[k], 2 * CHUNK_BYTES)]
         n = np.zeros(j - i, dtype=np.int64)
         for a, b in chunks([p for _, p in parts], 2 * CHUNK_BYTES):
-            arr = np.frombuffer(b" ".join([b"", *(p for _, p in parts[a:b]), b""]), dtype=np.uint8)
-            is_word = arr != 32
-            edges = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-            starts, ends = edges[::2], edges[1::2]
+            arr, starts, ends, firsts = word_spans([p for _, p in parts[a:b]])
             hashes.append(span_hashes(arr, starts, ends))
-            begins = np.cumsum([1, *(len(p) + 1 for _, p in parts[a:b])])
-            per = np.diff(np.searchsorted(starts, begins))
-            np.add.at(n, np.array([k for k, _ in parts[a:b]]) - i, per)
+            np.add.at(n, np.array([k for k, _ in parts[a:b]]) - i, np.diff(firsts))
         counts.append(n)
     total = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     return (np.concatenate(hashes) if hashes else np.zeros(0, _U)), np.concatenate([[0], np.cumsum(total)])
 
 
+def word_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All blobs as one array of bytes, where each word begins and ends in it, and the first word of each blob."""
+    arr = np.frombuffer(b" ".join([b"", *blobs, b""]), np.uint8)
+    is_word = arr != 32
+    edges = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+    begins = np.cumsum([1, *(len(b) + 1 for b in blobs)])
+    return arr, edges[::2], edges[1::2], np.searchsorted(edges[::2], begins)
+
+
+def word_numbers(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of all blobs, equal only for equal words, and the first word of each blob."""
+    arr, starts, ends, offsets = word_spans(blobs)
+    _, first, number = np.unique(span_hashes(arr, starts, ends), return_index=True, return_inverse=True)
+    long = np.flatnonzero(ends - starts > EXACT)
+    kept = first[number[long]]
+    if not same_spans(arr, starts[long], ends[long], arr, starts[kept], ends[kept]).all():
+        data, known = arr.tobytes(), {}
+        number = np.array([known.setdefault(data[a:z], len(known)) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return number, offsets
+
+
+def gram_numbers(numbers: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n-gram of consecutive numbers, equal only for equal n-grams."""
+    if len(numbers) < n:
+        return np.zeros(0, np.int64)
+    own, width = numbers.astype(np.int64), 1
+    while width < n:
+        step = min(width, n - width)
+        size = len(own) - step
+        own = np.unique(own[:size] * (int(own.max()) + 1) + own[step:], return_inverse=True)[1]
+        width += step
+    return own
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n-grams of consecutive word hashes."""
     if len(words) < n:
