@@ -4,18 +4,19 @@ Each byte covered by a string of LENGTH bytes that also starts elsewhere (same t
 
 1. Of the GRAM-byte hashes inside each LENGTH-byte window the least is the window's anchor (the leftmost of
    equals). Equal windows have equal anchors at equal places, so only anchors whose hash occurs twice matter,
-   and the windows of one hash meet in one shard. Equal texts are one class, of which one row goes on.
-2. Candidate texts give a context for each such anchor: the bytes of the windows it stands for. Contexts that
-   occur twice as a whole repeat as a whole; they are counted by digest, pre-aggregated. Only where a hash has
-   several different contexts does one of each go on.
-3. A shard's contexts become a suffix array by Larsson-Sadakane refinement in numpy: ranks of 8 bytes, then
-   doubled, of which only groups that are still tied are sorted again, up to LENGTH bytes exactly. Neighbours
-   with a common prefix of LENGTH bytes are repeats. Those prefixes come from the refinement's own ranks, as
-   Kasai's scan is sequential and numpy can't do it; contexts of one hash lie in one shard, so shards need no
-   binary search among each other.
-4. A hash with more than HOT different contexts isn't left to one shard. Its contexts are cut into blocks of STEP windows;
-   a block repeats as a whole if all its bytes do, not at all if the bytes common to its windows don't, else
-   its windows are counted one by one. All of these are counts by content, pre-aggregated: linear in contexts.
+   and the windows of one hash meet. Equal texts are one class, of which one row goes on.
+2. Candidate texts give a context for each such anchor: the bytes of the windows it stands for. Equal contexts
+   of a hash are combined, by a digest of 128 bits, to one with a count; one that occurs twice repeats as a
+   whole. Hashes with several different contexts go on, with one of each.
+3. Contexts are dealt to tasks by hash and cut into shards of about SHARD_BYTES. A shard becomes a suffix array by
+   Larsson-Sadakane refinement in numpy: ranks of 7 bytes, then doubled, of which only groups that are still
+   tied are sorted again, until all are told apart. Kasai's scan gives the common prefixes of neighbours, for
+   all contexts at once, a byte further each step; those of LENGTH bytes or more are repeats. A hash that lies
+   in several shards is merged by binary search of each one's sorted windows in the others'.
+4. A hash with more than LIMIT different contexts isn't left to one task. The places that a window can have
+   around its anchor are cut in two, and the bytes that all windows of a half share become the key under which
+   they meet, again and again; in the end a key is a window's whole bytes. So a hash of any number of contexts
+   is spread, and nothing is decided by hash alone.
 
 Null texts are empty; texts shorter than LENGTH keep all. Repeated rows are copies. Empty tables give none.
 Positions are bytes of UTF-8, so what is kept of a character may be a part. Other columns are not read.
@@ -30,25 +31,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, mix, partitions, power, prepared, stash, text_bytes
+from medlode.llm.common import batches, mix, partitions, prepared, stash, text_bytes
 
 LENGTH = 200
 GRAM = 48
-HOT = 2048
+#: Different contexts of a hash up to which one task gets them all.
+LIMIT = 2048
 #: Rows of spare copies that are broadcast (8 bytes each); more of them meet the anchors by shuffle.
 SPARE = 1_000_000
-STEP = 8
 #: Bytes of contexts that one suffix array holds, about; bytes of text whose windows are hashed at once.
 SHARD_BYTES = 1 << 20
 PART_BYTES = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 
 
-def _spans_hash(arr: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of arr[s:s + length] for each start."""
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        steps = np.full(PART_BYTES + 2 * LENGTH + 2, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def _spans_hash(arr: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of all arr[s:s + length]. Only anchors are chosen by them; contents decide."""
     with np.errstate(over="ignore"):
         prefix = np.zeros(len(arr) + 1, np.uint64)
-        np.cumsum((arr.astype(np.uint64) + np.uint64(1)) * power(len(arr), "up"), out=prefix[1:])
-        return mix((prefix[starts + length] - prefix[starts]) * power(len(arr) + 1, "down")[starts])
+        np.cumsum((arr.astype(np.uint64) + np.uint64(1)) * _UP[: len(arr)], out=prefix[1:])
+        return mix((prefix[length:] - prefix[:-length]) * _DOWN[: len(arr) - length + 1])
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,7 +78,7 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     width = length - gram + 1
     for at in range(0, max(len(text) - length + 1, 0), PART_BYTES):
         arr = np.frombuffer(text[at : at + PART_BYTES + length - 1], np.uint8)
-        h = _spans_hash(arr, np.arange(len(arr) - gram + 1), gram)
+        h = _spans_hash(arr, gram)
         place = _least((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), width) & np.uint64(0xFFFFFFFF)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         spot = place[first].astype(np.int64)
@@ -77,56 +89,98 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the windows data[s:s + length] equal one that starts at another of `starts`."""
+def suffix_array(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The suffixes of texts laid end to end, each to the end of its own text, in order.
+
+    Of equal suffixes that of the later text comes first, and a suffix before those it begins.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : n + k]
-    # the order of suffixes by 8 bytes; equal keys share the rank of the first of them
-    order = np.argsort(key, kind="stable")
-    rank = _ranked(key[order], order, n)
-    have = 8
-    while have < length:
-        step = min(have, length - have)
-        shifted = np.append(rank, np.zeros(step, np.int64))[step : n + step]
-        tied = order[_tied(rank[order])]
-        # sort again only what is tied, by the rank `step` further on; groups keep their places
-        again = tied[np.lexsort((shifted[tied], rank[tied]))]
-        base, part = rank[again], shifted[again]
-        new = np.append(True, (base[1:] != base[:-1]) | (part[1:] != part[:-1]))
-        group = np.append(True, base[1:] != base[:-1])
-        spots = np.arange(len(again))
-        within = spots - np.maximum.accumulate(np.where(group, spots, 0))
-        fresh = base + np.maximum.accumulate(np.where(new, spots, 0)) - (spots - within) if len(again) else base
-        rank = rank.copy()
-        rank[again] = fresh
-        order = order.copy()
-        order[base + within] = again
-        have += step
-    at = rank[starts]
-    return np.bincount(at, minlength=n)[at] > 1
-
-
-def _ranked(keys: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    first = np.append(True, keys[1:] != keys[:-1])
+    who, left = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    # the first 7 bytes, 0 beyond the end, and how many of them there are
+    key = _words(data, n) & ~np.uint64(0xFF)
+    last = np.flatnonzero(left < 7)
+    key[last] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * left[last].astype(np.uint64))
+    key |= np.minimum(left, 7).astype(np.uint64)
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    return rank
+    rank[order] = _first_of_equals(key[order])
+    have, spots = 7, np.arange(n)
+    while len(spots):
+        # spots of `order` whose suffixes share a rank with a neighbour
+        own = rank[order[spots]]
+        same = own[1:] == own[:-1]
+        spots = spots[np.append(same, False) | np.append(False, same)]
+        at = order[spots]
+        more = left[at] > have
+        further = np.where(more, rank[np.where(more, at + have, 0)], -1) + len(sizes)
+        further[~more] = len(sizes) - 1 - who[at[~more]]
+        key = rank[at] * (n + len(sizes)) + further
+        again = np.argsort(key)
+        order[spots] = at[again]
+        key = key[again]
+        rank[at[again]] = spots[_first_of_equals(key)]
+        have *= 2
+    return order
 
 
-def _tied(ranks: np.ndarray) -> np.ndarray:
-    same = ranks[1:] == ranks[:-1]
-    return np.append(same, False) | np.append(False, same)
+def _words(data: np.ndarray, n: int) -> np.ndarray:
+    """The 8 bytes from each of n places on as a number, 0 beyond the end."""
+    padded, out = np.zeros(n + 8, np.uint8), np.zeros(n, np.uint64)
+    padded[: len(data)] = data
+    for k in range(8):
+        out <<= np.uint64(8)
+        out |= padded[k : n + k]
+    return out
+
+
+def _first_of_equals(keys: np.ndarray) -> np.ndarray:
+    """For each of some keys in order the place of the first that equals it."""
+    return np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1])[: len(keys)], np.arange(len(keys)), 0))
+
 
+def common_prefixes(data: np.ndarray, sizes: np.ndarray, order: np.ndarray, most: int, scan: np.ndarray) -> np.ndarray:
+    """For each suffix how many bytes it shares with the one before it in order, `most` at most.
 
+    Kasai's scan: a suffix shares at least one byte less with its neighbour than the suffix a byte before it.
+    All texts are scanned at once, 8 bytes at a time, the first `scan` suffixes of each; others stay 0.
+    """
+    n = len(data)
+    out, before = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    left = np.minimum(np.repeat(np.cumsum(sizes), sizes) - np.arange(n), most)
+    words = _words(data, n + most)
+    texts = np.argsort(-scan, kind="stable")
+    firsts, ends = (np.cumsum(sizes) - sizes)[texts], scan[texts]
+    shared = np.zeros(len(texts), np.int64)
+    for step in range(int(ends[0]) if len(ends) else 0):
+        live = np.searchsorted(-ends, -step)
+        i = firsts[:live] + step
+        j = before[i]
+        bound = np.where(j >= 0, np.minimum(left[i], left[j]), 0)
+        size = np.minimum(np.maximum(shared[:live] - 1, 0), bound)
+        at = np.flatnonzero(size < bound)
+        own, other, reach, end = i[at], j[at], size[at], bound[at]
+        open_ = np.arange(len(at))
+        while len(open_):
+            open_ = open_[words[own[open_] + reach[open_]] == words[other[open_] + reach[open_]]]
+            reach[open_] += 8
+            open_ = open_[reach[open_] < end[open_]]
+        short = np.flatnonzero(reach < end)
+        differ = words[own[short] + reach[short]] ^ words[other[short] + reach[short]]
+        for k in range(1, 8):
+            reach[short] += differ >> np.uint64(8 * k) == 0
+        size[at] = np.minimum(reach, end)
+        shared[:live] = size
+        out[i] = size
+    return out
+
+
+_PLACE = ("h", "at", "lo", "hi")
 _ANCHORS = "array<struct<h:bigint,at:bigint,lo:bigint,hi:bigint>>"
-_KIND = pa.list_(pa.struct([(k, pa.int64()) for k in ("h", "at", "lo", "hi")]))
 
 
 def _lists(sizes: list[int], cols: list[np.ndarray]) -> pa.Array:
-    inner = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "at", "lo", "hi"])
+    inner = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=list(_PLACE))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), inner)
 
 
@@ -143,36 +197,52 @@ def _slim(length: int):
     return slim
 
 
-def _digests(length: int):
-    """The anchors of texts, with a digest of each context."""
+_MARKS = "row bigint, h bigint, at bigint, lo bigint, hi bigint, n bigint, digest binary"
+
+
+def _digest(size: int, *parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=size).digest()
 
-    def digests(source):
+
+def _marks(length: int, halves: list[tuple[int, int]] | None):
+    """The anchors of texts, with a digest of each context.
+
+    With halves (least and largest place of the anchor in a window) contexts are cut into those, and each
+    part's key is made from the old one and the bytes that all windows of the half share.
+    """
+
+    def marks(source):
         for b, texts in batches(source):
-            out = [[], [], [], [], [], []]
+            out = [[] for _ in range(7)]
             for row, own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
                 for x in own:
-                    for o, v in zip(out, (row, x["h"], x["at"], x["lo"], x["hi"]), strict=False):
-                        o.append(v)
-                    # where the anchor lies in the context counts too
-                    out[5].append(hashlib.blake2b(b"%d:" % (x["at"] - x["lo"]) + t[x["lo"] : x["hi"] + length], digest_size=12).digest())
+                    h, at = x["h"], x["at"]
+                    parts = [(h, x["lo"], x["hi"])]
+                    if halves is not None:
+                        parts = [(d, e, max(x["lo"], at - e), min(x["hi"], at - d)) for d, e in halves]
+                        parts = [(int.from_bytes(_digest(8, b"%d,%d:" % (h, d), t[at - d : at - e + length]), "little", signed=True), lo, hi) for d, e, lo, hi in parts if lo <= hi]
+                    for key, lo, hi in parts:
+                        # where the anchor lies in the context counts too
+                        values = (row, key, at, lo, hi, x.get("n", 1), _digest(16, b"%d:" % (at - lo), t[lo : hi + length]))
+                        for o, v in zip(out, values, strict=True):
+                            o.append(v)
             if out[0]:
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["row", "h", "at", "lo", "hi", "digest"])
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["row", *_PLACE, "n", "digest"])
 
-    return digests
+    return marks
 
 
 def _contexts(length: int):
     def contexts(source):
         for b, texts in batches(source):
-            out = [[], [], [], [], []]
+            out = [[], [], [], []]
             for row, own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
                 for x in own:
-                    out[0].append(x["h"]), out[1].append(row), out[2].append(x["lo"]), out[3].append(x["at"] - x["lo"])
-                    out[4].append(t[x["lo"] : x["hi"] + length])
+                    out[0].append(x["h"]), out[1].append(row), out[2].append(x["lo"]), out[3].append(t[x["lo"] : x["hi"] + length])
             if out[0]:
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["h", "row", "lo", "at", "text"])
+                kinds = [pa.int64()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["h", "row", "lo", "text"])
 
     return contexts
 
@@ -187,74 +257,90 @@ def _runs(rows: np.ndarray, starts: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[first]), pa.array(starts[first]), pa.array(starts[last] + length)], names=["row", "a", "z"])
 
 
-def _shards(length: int):
-    def spans(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        sizes = np.array([len(r[2]) for r in rows])
+class Shard:
+    """A suffix array of contexts (key, row, place in the row, bytes), and which of its windows repeat."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]], length: int):
+        self.length, self.keys = length, np.array([r[0] for r in rows], np.int64)
+        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        sizes = np.array([len(r[3]) for r in rows])
+        self.data = data
+        order = suffix_array(data, sizes)
+        equal = common_prefixes(data, sizes, order, length, sizes - length + 1)[order] >= length
+        hit = np.zeros(len(data), bool)
+        hit[order] = equal | np.append(equal[1:], False)
+        self.firsts = np.cumsum(sizes) - sizes
         n = sizes - length + 1
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(np.cumsum(sizes) - sizes, n) + inner
-        hit = repeated_windows(data, starts, length)
-        who = np.repeat(np.array([r[0] for r in rows], np.int64), n)
-        return _runs(who[hit], (np.repeat(np.array([r[1] for r in rows], np.int64), n) + inner)[hit], length)
+        self.who, self.starts = np.repeat(np.arange(len(rows)), n), np.repeat(self.firsts, n) + inner
+        self.hit = hit[self.starts]
+        self.row = np.array([r[1] for r in rows], np.int64)[self.who]
+        self.place = np.array([r[2] for r in rows], np.int64)[self.who] + inner
+        # windows in order, for the merge
+        spot = np.full(len(data), -1, np.int64)
+        spot[self.starts] = np.arange(len(self.starts))
+        self.order = spot[order]
+        self.order = self.order[self.order >= 0]
+
+    def sorted_windows(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of a key, in order, and which they are."""
+        own = self.order[self.keys[self.who[self.order]] == key]
+        every = np.lib.stride_tricks.sliding_window_view(self.data, self.length)[self.starts[own]]
+        return np.ascontiguousarray(every).view(f"S{self.length}").ravel(), own
+
+    def merge(self, other: Shard, key: int) -> None:
+        """Marks windows of a key that are in both shards, by binary search of the others' in the own order."""
+        mine, own = self.sorted_windows(key)
+        theirs, at = other.sorted_windows(key)
+        spot = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = mine[spot] == theirs
+        other.hit[at[both]] = True
+        self.hit[own[spot[both]]] = True
+
+    def spans(self, keep: np.ndarray) -> pa.RecordBatch:
+        """Covered spans of the repeated windows for which keep holds."""
+        own = self.hit & keep
+        return _runs(self.row[own], self.place[own], self.length)
+
+
+def _shards(length: int, shard_bytes: int = SHARD_BYTES):
+    """Spans of the repeated windows of contexts that come in order of keys."""
 
     def shards(source):
-        held, size, last = [], 0, None
+        held: list[Shard] = []  # shards that end with contexts of the key that is still open
+        rows, size = [], 0
+
+        def close(done: bool):
+            nonlocal held, rows, size
+            new = Shard(rows, length)
+            first, last = rows[0][0], rows[-1][0]
+            if held and held[0].keys[-1] == first:
+                for k, old in enumerate(held):
+                    old.merge(new, first)
+                    # a window that repeats in the new shard marks all its equals there already
+                    for older in held[:k]:
+                        older.merge(old, first)
+            if held and (done or last != held[0].keys[-1]):
+                yield from (s.spans(s.keys[s.who] == s.keys[-1]) for s in held)
+                held = []
+            yield new.spans((new.keys[new.who] != last) | done)
+            if not done:
+                held.append(new)
+            rows, size = [], 0
+
         for b, texts in batches(source):
             for h, row, lo, t in zip(*(b.column(n).to_pylist() for n in ("h", "row", "lo")), texts, strict=True):
-                if size > SHARD_BYTES and h != last:
-                    yield spans(held)
-                    held, size = [], 0
-                held.append((row, lo, t))
+                if size > shard_bytes:
+                    yield from close(False)
+                rows.append((h, row, lo, t))
                 size += len(t)
-                last = h
-        if held:
-            yield spans(held)
+        if rows:
+            yield from close(True)
+        yield from (s.spans(s.keys[s.who] == s.keys[-1]) for s in held)
 
     return shards
 
 
-def _blocks(length: int):
-    """Blocks of STEP windows, cut at multiples of STEP before the anchor, so that equal windows are cut alike."""
-
-    def blocks(source):
-        for b, texts in batches(source):
-            out = [[], [], [], [], [], []]
-            for h, row, lo, at, t in zip(*(b.column(n).to_pylist() for n in ("h", "row", "lo", "at")), texts, strict=True):
-                n = len(t) - length + 1
-                windows = _spans_hash(np.frombuffer(t, np.uint8), np.arange(n), length).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, ((at - np.arange(1, n)) // STEP) != ((at - np.arange(n - 1)) // STEP)))
-                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), n], strict=True):
-                    place = f"{at - a},{at - z}:".encode()
-                    whole = int.from_bytes(hashlib.blake2b(place + t[a : z - 1 + length], digest_size=8).digest(), "little", signed=True)
-                    lead = (at - a) // STEP * STEP
-                    core = int.from_bytes(hashlib.blake2b(f"{lead}:".encode() + t[at - lead : at - lead - STEP + 1 + length], digest_size=8).digest(), "little", signed=True)
-                    for o, v in zip(out, (h, row, lo + a, whole, core, windows[a:z].tolist()), strict=True):
-                        o.append(v)
-            if out[0]:
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["h", "row", "lo", "whole", "core", "windows"])
-
-    return blocks
-
-
-def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
-    """Spans of hashes with very many places, from counts by content."""
-    blocks = stash(hot.mapInArrow(_blocks(length), "h bigint, row bigint, lo bigint, whole bigint, core bigint, windows array<bigint>"), "blocks")
-
-    def twice(df: DataFrame, key: str, name: str) -> DataFrame:
-        return stash(df.groupBy("h", key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", key, F.lit(True).alias(name)), name)
-
-    blocks = stash(blocks.join(twice(blocks, "whole", "all_twice"), ["h", "whole"], "left"), "blocks")
-    sure = blocks.where("all_twice").select("row", F.col("lo").alias("a"), (F.col("lo") + F.size("windows") - 1 + length).alias("z"))
-    # windows can only equal others of blocks with the same common bytes
-    cores = blocks.groupBy("h", "core").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("all_twice").isNull(), 1)).alias("open"))
-    cores = stash(cores.where("n > 1 and open > 0").select("h", "core"), "cores")
-    windows = stash(blocks.join(cores, ["h", "core"]).select("row", "h", F.posexplode("windows").alias("k", "window"), "lo", "all_twice"), "windows")
-    single = windows.where("all_twice is null").join(twice(windows, "window", "twice"), ["h", "window"]).select("row", (F.col("lo") + F.col("k")).alias("a"), (F.col("lo") + F.col("k") + length).alias("z"))
-    return sure.unionByName(single)
-
-
 def _final(length: int):
     def final(source):
         for b, texts in batches(source):
@@ -272,7 +358,7 @@ def _final(length: int):
     return final
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, limit: int = LIMIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = prepared(docs.sparkSession)
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
@@ -284,26 +370,29 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spare = F.broadcast(spare) if spare.count() <= SPARE else spare
     places = slim.where(F.size("anchors") > 0).select("row", "anchors").join(spare, "row", "left_anti").select("row", F.inline("anchors"))
     often = stash(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
-    met = places.join(often, "h")
-    listed = lambda df: df.groupBy("row").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("anchors"))
+    met = places.join(often.select("h"), "h")
+    listed = lambda df, *more: df.groupBy("row").agg(F.collect_list(F.struct(*_PLACE, *more)).alias("anchors"))
     several = stash(stash(listed(met), "met").where("row >= 0").join(own.select("row", "text"), "row").select("row", "anchors", "text"), "candidates")
 
-    # contexts that occur twice, and one of each for the hashes that have several
-    marks = stash(several.mapInArrow(_digests(length), "row bigint, h bigint, at bigint, lo bigint, hi bigint, digest binary"), "marks")
-    kinds = stash(marks.groupBy("h", "digest").agg(F.min(F.struct("row", "at", "lo", "hi")).alias("one"), F.count(F.lit(1)).alias("n")), "kinds")
-    spans = marks.join(kinds.where("n > 1").select("h", "digest"), ["h", "digest"], "left_semi").select("row", F.col("lo").alias("a"), (F.col("hi") + length).alias("z"))
-    many = stash(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "many")
-    open_ = stash(kinds.join(many, "h").select("h", "one.*", "different"), "open")
-
-    def contexts(which):
-        return listed(open_.where(which)).join(several.select("row", "text"), "row").select("row", "anchors", "text").mapInArrow(_contexts(length), "h bigint, row bigint, lo bigint, at bigint, text binary")
-
-    sizes = open_.agg(F.count(F.when(F.col("different") <= hot, 1)).alias("usual"), F.count(F.when(F.col("different") > hot, 1)).alias("hot")).first()
-    count = partitions(spark, sizes.usual, 100_000)
-    usual = contexts(F.col("different") <= hot).repartition(count, "h").sortWithinPartitions("h")
-    spans = spans.unionByName(usual.mapInArrow(_shards(length), "row bigint, a bigint, z bigint"))
-    if sizes.hot:
-        spans = spans.unionByName(_hot_spans(contexts(F.col("different") > hot), length))
+    marks = stash(several.mapInArrow(_marks(length, None), _MARKS), "marks")
+    halves, spans = [(0, length - min(GRAM, length))], None
+    while True:
+        # contexts that occur twice, and one of each for the keys that have several
+        kinds = stash(marks.groupBy("h", "digest").agg(F.min(F.struct("row", "at", "lo", "hi")).alias("one"), F.sum("n").alias("n")), "kinds")
+        found = marks.where("n = 1").join(kinds.where("n > 1").select("h", "digest"), ["h", "digest"], "left_semi").select("row", F.col("lo").alias("a"), (F.col("hi") + length).alias("z"))
+        many = stash(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "many")
+        open_ = stash(kinds.join(many, "h").select("h", "one.*", "n", "different"), "open")
+        sizes = open_.agg(F.count(F.when(F.col("different") <= limit, 1)).alias("usual"), F.count(F.when(F.col("different") > limit, 1)).alias("over")).first()
+        usual = listed(open_.where(F.col("different") <= limit)).join(several.select("row", "text"), "row").select("row", "anchors", "text")
+        usual = usual.mapInArrow(_contexts(length), "h bigint, row bigint, lo bigint, text binary")
+        usual = usual.repartition(partitions(spark, sizes.usual, 100_000), "h").sortWithinPartitions("h")
+        found = found.unionByName(usual.mapInArrow(_shards(length, shard_bytes), "row bigint, a bigint, z bigint"))
+        spans = found if spans is None else spans.unionByName(found)
+        if not sizes.over:
+            break
+        halves = [(d, e) for a, z in halves for d, e in (((a, z),) if a == z else ((a, (a + z) // 2), ((a + z) // 2 + 1, z)))]
+        over = listed(open_.where(F.col("different") > limit), "n").join(several.select("row", "text"), "row").select("row", "anchors", "text")
+        marks = stash(over.mapInArrow(_marks(length, halves), _MARKS), "marks")
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     done = spans.join(several.select("row", "text"), "row").select("row", "spans", "text").mapInArrow(_final(length), "row bigint, n_removed bigint, n_spans bigint, kept binary")
     done = stash(done, "done")
