@@ -14,6 +14,7 @@ texts. An empty table gives an empty file. Other columns are not read, whatever
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, partitions, prepared, shared_dir, span_hashes
+from medlode.llm.common import EXACT, batches, chunks, partitions, prepared, same_spans, shared_dir, span_hashes
 
 CHUNK = 8
 TOKENS = 1 << 20
+#: Bytes of text that a partition of the file encodes, about.
+PART_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED = 1_000_000
 END = 0
@@ -45,7 +48,8 @@ class Encoder:
     """Encodes texts with a tokenizers file of the byte-level kind.
 
     Such a tokenizer cuts a text into pieces (a run of letters, digits or others with a space before it, or
-    white space) and merges inside each alone. So each different piece is encoded once and then looked up.
+    white space) and merges inside each alone. So each different piece is encoded once and then looked up, by
+    a hash of which the bytes are compared. Files of any other kind are left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -53,6 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_piece = cuts_into_pieces(json.load(f))
         self._forget()
 
     def _forget(self) -> None:
@@ -60,6 +66,8 @@ class Encoder:
         self.rows = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
+        self.begin = np.zeros(1, np.int64)
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes new pieces, in the order of their hashes."""
@@ -74,6 +82,14 @@ class Encoder:
         self.keys = np.insert(self.keys, at, keys)
         self.flat = np.concatenate([self.flat, ids])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(p) for p in pieces])])
+
+    def _whole(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the tokenizer alone."""
+        got = self.tokenizer.encode_batch_fast([b.decode("utf-8", "replace") for b in blobs], add_special_tokens=False)
+        ids = [np.array([*e.ids, END], np.uint32) for e in got]
+        return np.concatenate(ids), np.array([len(x) for x in ids])
 
     def encode(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8), each followed by END, and how many each has."""
@@ -81,6 +97,8 @@ class Encoder:
         return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
 
     def _encode(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_piece:
+            return self._whole(blobs)
         if len(self.keys) > REMEMBERED:
             self._forget()
         odd = [k for k, b in enumerate(blobs) if _ODD.search(b)]
@@ -105,6 +123,11 @@ class Encoder:
             new = first[~known]
             self._learn(keys[~known], [data[a:z] for a, z in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
+        # where hashes aren't the bytes themselves, the bytes decide
+        long = np.flatnonzero(end - begin > EXACT)
+        known = self.rows[at][piece[long]]
+        if not same_spans(arr, begin[long], end[long], self.bytes, self.begin[known], self.begin[known + 1]).all():
+            return self._whole(blobs)
         row = self.rows[at][piece]
         n = self.first[row + 1] - self.first[row]
         ends = np.cumsum(n)
@@ -119,6 +142,14 @@ class Encoder:
         return ids, sizes
 
 
+def cuts_into_pieces(file: dict) -> bool:
+    """Whether a tokenizers file cuts texts as Encoder does: plain byte-level, nothing before it."""
+    cut = file.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    added = all(re.fullmatch(r"<\|.*", t["content"]) and not t.get("lstrip") and not t.get("rstrip") for t in file.get("added_tokens", []))
+    return bool(plain) and not file.get("normalizer") and added
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -214,7 +245,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Writes the documents' ids to path, in ascending order of id."""
     spark = prepared(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    count = partitions(spark, 0, 1)
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = partitions(spark, size, PART_BYTES)
     dealt = own.repartitionByRange(count, F.col("id")).sortWithinPartitions("id", "text")
     dealt.mapInArrow(_encode(tokenizer, tokens), _FILE).write.parquet(path)
 
