@@ -2,11 +2,11 @@
 
 Of every six consecutive hashes of 5-grams of words the least is a fingerprint, so any two texts that share
 ten consecutive words share a fingerprint inside that span. Fingerprints of documents meet those of benchmark
-items; each meeting is extended in both directions, and windows of ten words that match are hits. Items of
-fewer than ten words are one window each and meet all n-grams of their length.
+items; each meeting is extended in both directions, and windows of ten words that match are hits, once their
+words have been compared. Items of fewer than ten words are one window each and meet all n-grams of their length.
 
 The items' fingerprints are broadcast if they stay within ITEM_WORDS words; a larger benchmark is dealt into
-blocks of about that size by its item ids, each block passes over the documents, and the hits are merged.
+blocks of about that size by its items, each block passes over the documents, and the hits are merged.
 
 Null and empty texts have no words and no hits; repeated rows get equal results; items without words are left
 out; an empty benchmark finds nothing. Other columns are not read, whatever their names.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, gram_hashes, lower_words, prepared, stash, text_bytes, word_hashes
+from medlode.llm.common import batches, chunks, gram_hashes, lower_words, prepared, same_spans, stash, text_bytes, word_hashes, word_spans
 
 WINDOW = 10
 GRAM = 5
@@ -47,7 +47,9 @@ class ItemIndex:
     """Benchmark items: their words, fingerprints in order of hash, and the items shorter than a window."""
 
     def __init__(self, ids: list[str], texts: list[bytes]):
-        words, offsets = word_hashes([lower_words(t) for t in texts])
+        lowered = [lower_words(t) for t in texts]
+        words, offsets = word_hashes(lowered)
+        self.spans = word_spans(lowered)[:3]
         sizes = np.diff(offsets)
         self.ids = np.array(ids, dtype=object)
         self.words, self.offsets = words, offsets
@@ -75,8 +77,8 @@ def _meet(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hits(words: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of documents that occur in items: their first words, lengths and items."""
-    firsts, lengths, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Windows of documents with hashes as in items: their first words, lengths, and the first words in items."""
+    firsts, lengths, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at, marks = fingerprints(words)
     i, j = _meet(marks, index.marks)
@@ -90,12 +92,32 @@ def hits(words: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> tuple[np.n
         for k in range(WINDOW):
             same = words[a + k] == index.words[b + k]
             a, b = a[same], b[same]
-        firsts.append(a), lengths.append(np.full(len(a), WINDOW)), items.append(index.owner[b])
+        firsts.append(a), lengths.append(np.full(len(a), WINDOW)), others.append(b)
     for n, (keys, own) in index.short.items():
         i, j = _meet(gram_hashes(words, n), keys)
         same = owner[i] == owner[i + n - 1] if len(i) else np.zeros(0, bool)
-        firsts.append(i[same]), lengths.append(np.full(same.sum(), n)), items.append(own[j[same]])
-    return np.concatenate(firsts), np.concatenate(lengths), np.concatenate(items)
+        firsts.append(i[same]), lengths.append(np.full(same.sum(), n)), others.append(index.offsets[own[j[same]]])
+    return np.concatenate(firsts), np.concatenate(lengths), np.concatenate(others)
+
+
+def compared(blobs: list[bytes], offsets: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those windows whose words are the same: their first words, lengths and items. blobs are lower_words'."""
+    firsts, lengths, others = found
+    if not len(firsts):
+        return found
+    # only documents with such windows are cut into words again
+    doc = np.searchsorted(offsets, firsts, "right") - 1
+    docs, place = np.unique(doc, return_inverse=True)
+    arr, starts, ends, begins = word_spans([blobs[d] for d in docs])
+    ends_of = np.cumsum(lengths)
+    step = np.arange(ends_of[-1]) - np.repeat(ends_of - lengths, lengths)
+    own = np.repeat(begins[:-1][place] + firsts - offsets[doc], lengths) + step
+    item, other_starts, other_ends = index.spans
+    other = np.repeat(others, lengths) + step
+    pairs, which = np.unique(np.stack([own, other], 1), axis=0, return_inverse=True)
+    same = same_spans(arr, starts[pairs[:, 0]], ends[pairs[:, 0]], item, other_starts[pairs[:, 1]], other_ends[pairs[:, 1]])
+    ok = np.logical_and.reduceat(same[which.ravel()], ends_of - lengths)
+    return firsts[ok], lengths[ok], index.owner[others[ok]]
 
 
 def _runs(words: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, items: np.ndarray, ids: np.ndarray):
@@ -124,8 +146,9 @@ def _scan(index):
         known = index.value
         for b, texts in batches(source):
             for i, j in chunks(texts):
-                words, offsets = word_hashes([lower_words(t) for t in texts[i:j]])
-                found = _runs(words, offsets, *hits(words, offsets, known), known.ids)
+                lowered = [lower_words(t) for t in texts[i:j]]
+                words, offsets = word_hashes(lowered)
+                found = _runs(words, offsets, *compared(lowered, offsets, hits(words, offsets, known), known), known.ids)
                 own = [found.get(k, ([], [])) for k in range(j - i)]
                 kept = [n for n in b.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays(
@@ -154,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own = stash(own.withColumn("row", F.monotonically_increasing_id()), "docs")
     passes = []
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).orderBy("id").collect()
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id").collect()
         index = ItemIndex([r.id for r in rows], [bytes(r.text) for r in rows])
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema if f.name != 'text')}, n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<string>"
         passes.append(own.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema))
