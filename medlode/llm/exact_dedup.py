@@ -1,8 +1,9 @@
 """Exact deduplication over a cuckoo-filter index of live digests.
 
-Texts are equal when identical after lower-casing A-Z. Each input batch is combined to one entry a digest
-before the shuffle, so a digest that a third of all rows share reaches its bucket as a few entries. A bucket
-of digests is absorbed, one batch at a time, by a CuckooIndex; the rows then look up what it decided.
+Texts are equal when identical after lower-casing A-Z. Each task combines its rows to one entry a digest before
+the shuffle, so a digest that a third of all rows share reaches its bucket as an entry a task. A bucket of
+digests is absorbed by a CuckooIndex. What it decided meets the rows by digest; the few digests that more than
+one row in HOT_SHARE has are broadcast, so that no task gets all rows of one.
 
 Nulls and empty texts are one group. Null ids rank below all others; of repeated rows with the largest id
 one stays. Empty tables give empty results. Other columns are not read, whatever their names.
@@ -23,24 +24,28 @@ SLOTS = 4
 KICKS = 200
 #: Digests that one task's index holds, about.
 BUCKET_ROWS = 500_000
+#: Digests of more than a share of 1 / HOT_SHARE of all rows, at most so many, are broadcast.
+HOT_SHARE = 10_000
+#: Entries that a task combines at once.
+COMBINED = 200_000
 
 
 class CuckooIndex:
     """Live digests with a payload each: a cuckoo filter before bucketed content.
 
-    A lookup reads the two filter buckets of a digest; only if its fingerprint is there is the content read,
-    and the whole digest compared. Deletion takes the fingerprint out again. When an insertion can't place a
-    fingerprint, the filter doubles and is filled anew from the stored keys.
+    A lookup reads the two filter buckets of a digest; only if its fingerprint is there is the content bucket
+    read, and whole digests compared. Deletion takes the fingerprint out again. When an insertion can't place a
+    fingerprint, the filter doubles and is filled anew from the stored keys. `reads` counts content reads.
     """
 
     def __init__(self, buckets: int = 1024):
-        self.content: dict[int, dict[bytes, list]] = {}
-        self.size = 0
+        self.size = self.reads = 0
         self._clear(buckets)
 
     def _clear(self, buckets: int) -> None:
         self.buckets = buckets
         self.table = [0] * (buckets * SLOTS)
+        self.content: list[list[tuple[bytes, list]]] = [[] for _ in range(buckets)]
         self.spin = 1
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
@@ -51,39 +56,42 @@ class CuckooIndex:
     def _other(self, bucket: int, mark: int) -> int:
         return bucket ^ ((mark * 0x5BD1E995) & (self.buckets - 1))
 
-    def _home(self, digest: bytes) -> int:
-        return int.from_bytes(digest[10:14], "little") & 0xFFFF
-
     def maybe(self, digest: bytes) -> bool:
         """Whether the filter holds the digest's fingerprint: never false for a live digest."""
         mark, a, b = self._places(digest)
         t = self.table
         return mark in t[a * SLOTS : a * SLOTS + SLOTS] or mark in t[b * SLOTS : b * SLOTS + SLOTS]
 
+    def _find(self, digest: bytes) -> int:
+        """The digest's place in its content bucket, -1 if it isn't live; the filter answers most misses."""
+        if not self.maybe(digest):
+            return -1
+        self.reads += 1
+        return next((k for k, (d, _) in enumerate(self.content[self._places(digest)[1]]) if d == digest), -1)
+
     def get(self, digest: bytes) -> list | None:
         """The payload of a live digest; a hit of the filter is verified against the content."""
-        if not self.maybe(digest):
-            return None
-        return self.content.get(self._home(digest), {}).get(digest)
+        k = self._find(digest)
+        return None if k < 0 else self.content[self._places(digest)[1]][k][1]
 
     def insert(self, digest: bytes, payload: list) -> None:
-        home = self.content.setdefault(self._home(digest), {})
-        if digest in home:
-            home[digest] = payload
+        home, k = self.content[self._places(digest)[1]], self._find(digest)
+        if k >= 0:
+            home[k] = (digest, payload)
             return
-        home[digest] = payload
+        home.append((digest, payload))
         self.size += 1
         if not self._place(digest):
             self.resize(self.buckets * 2)
 
     def delete(self, digest: bytes) -> bool:
         """Takes a live digest out; False if it isn't live."""
-        home = self.content.get(self._home(digest), {})
-        if digest not in home:
+        k = self._find(digest)
+        if k < 0:
             return False
-        del home[digest]
-        self.size -= 1
         mark, *places = self._places(digest)
+        del self.content[places[0]][k]
+        self.size -= 1
         for bucket in places:
             for k in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
                 if self.table[k] == mark:
@@ -112,9 +120,12 @@ class CuckooIndex:
 
     def resize(self, buckets: int) -> None:
         """A filter of at least so many buckets, filled from the stored keys."""
+        stored = list(self.items())
         while True:
             self._clear(buckets)
-            if all(self._place(d) for home in self.content.values() for d in home):
+            for entry in stored:
+                self.content[self._places(entry[0])[1]].append(entry)
+            if all(self._place(d) for d, _ in stored):
                 return
             buckets *= 2
 
@@ -129,8 +140,8 @@ class CuckooIndex:
                 live[0] = row
 
     def items(self) -> Iterator[tuple[bytes, list]]:
-        for home in self.content.values():
-            yield from home.items()
+        for home in self.content:
+            yield from home
 
 
 _LOW = -(1 << 63)
@@ -151,8 +162,8 @@ def _entries(found) -> pa.RecordBatch:
 
 
 def _combine(source):
+    found: dict[bytes, list] = {}
     for b in source:
-        found: dict[bytes, list] = {}
         for row, key, digest in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             rank = (_LOW if key is None else key, row)
             if (v := found.get(digest)) is None:
@@ -160,8 +171,12 @@ def _combine(source):
             else:
                 v[1] += 1
                 v[0] = max(v[0], rank)
-        if found:
+        # a digest that most rows share is there again soon, others seldom
+        if len(found) > COMBINED:
             yield _entries(found.items())
+            found = {}
+    if found:
+        yield _entries(found.items())
 
 
 def _absorb(source):
@@ -181,10 +196,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")
     )
     slim = stash(slim.mapInArrow(_digests, "row bigint, id bigint, digest binary"), "digests")
-    count = partitions(spark, slim.count(), BUCKET_ROWS)
-    found = slim.mapInArrow(_combine, _ENTRY).repartition(count, F.col("digest")).mapInArrow(_absorb, _ENTRY)
-    copies = found.where("n > 1")
-    joined = slim.join(copies, "digest", "left")
+    rows = slim.count()
+    found = slim.mapInArrow(_combine, _ENTRY).repartition(partitions(spark, rows, BUCKET_ROWS), F.col("digest")).mapInArrow(_absorb, _ENTRY)
+    copies = stash(found.where("n > 1"), "copies")
+    most = max(1, rows // HOT_SHARE)
+    hot = F.broadcast(copies.where(F.col("n") > most).select("digest", *[F.col(c).alias(f"hot_{c}") for c in ("keep_id", "keep_row", "n")]))
+    joined = slim.join(hot, "digest", "left")
+    # rows of hot digests have what they need: they go to any task of the next join
+    cold = copies.where(F.col("n") <= most).withColumnRenamed("digest", "d")
+    key = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.unhex(F.sha2(F.concat("digest", F.col("row").cast("string").cast("binary")), 256)))
+    joined = joined.withColumn("key", key).join(cold, (F.col("key") == F.col("d")) & F.col("hot_n").isNull(), "left")
+    joined = joined.select("row", "id", "digest", *[F.coalesce(f"hot_{c}", c).alias(c) if c != "keep_id" else F.when(F.col("hot_n").isNull(), F.col(c)).otherwise(F.col(f"hot_{c}")).alias(c) for c in ("keep_id", "keep_row", "n")])
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
