@@ -7,7 +7,7 @@ windows' worst, calibrated on the training rows: a few insults in a long text ar
 windows of whole texts count.
 
 Training gathers at most SAMPLE labelled rows of at most SAMPLE_BYTES bytes, half of each class where there
-are enough, drawn by a hash of the text so that reruns agree. Once vectors and softmax are trained only their
+are enough, drawn by a hash of the id so that reruns agree; of rows with one id it takes one, chosen by its text. Once vectors and softmax are trained only their
 product matters for scoring: one number a gram. Null and empty texts, and texts without words, score the
 calibrated value of no evidence. Without labelled rows of both classes all score 0. Repeated rows get equal
 results, empty tables none. Other columns are not read, whatever their names.
@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     half = lambda k, n: known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(n)
     own = half(1, sample // 2).unionByName(half(0, sample - sample // 2))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(own), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    texts = texts.join(F.broadcast(own), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = texts.select("id", "y", "t.text").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     return Model([bytes(r.text) for r in rows], [r.y for r in rows])
 
 
