@@ -2,22 +2,26 @@
 
 Targets are shares of all words by weight; a source that can't reach its share with REPEATS copies stops
 there, and the rest is shared anew (solved exactly from the order in which sources stop). The rows of a
-source are dealt by a hash into blocks of about total / BLOCKS words. A source draws whole passes over its
-blocks and, for the rest of its target, the first blocks of a permuted order; the last of them is drawn row
-by row until the target is met within half a row, and one row that fits what is left best evens it out.
+source are dealt by a hash into blocks of about total / BLOCKS words; the hash takes in the row's place in the
+scan, so equal rows lie in different blocks. A source draws whole passes over its blocks and, for the rest of
+its target, the first blocks of a permuted order; these draws are its quota.
 
-The draws of each source are its quota. The tree splits the quotas of all sources between the two halves of
-a range of output shards, again and again: each half gets a number of draws in proportion to its shards, and
-which of them is a multivariate hypergeometric sample, drawn from an urn with hashes for chance. Draws then
-go to shards in permuted order of their source, so the blocks of two shards are disjoint but for repeats.
+The tree splits the draws of all sources between the two halves of a range of output shards, again and again:
+at each node draws are put in an order of chance, and the left half gets the first of them, a number in
+proportion to its shards. So what each source gives is a multivariate hypergeometric sample, and two shards
+never get the same draw. What a row's block was drawn for, less what the last block is cut, is what is taken:
+that block is taken row by row until the target is met within half a row, and one row that fits what is left
+best evens it out.
 
 Plan tables hold a row a source and a row a draw, at most BLOCKS + 4 a source: they are broadcast only while
-sources number MAX_SOURCES at most, else joined by shuffle. For the plan no documents are shuffled
-but the rows (id and size) of the one block a source that is cut; `mix` shuffles each copy once to its shard.
+sources number MAX_SOURCES at most, else joined by shuffle. Sources in order, and all draws at the tree's root,
+are sorted in one task: slim rows, as many as sources and draws. For the plan no documents are shuffled
+but the rows (size) of the one block a source that is cut; `mix` shuffles each copy once to its shard.
 
 Null sources are a source of their own; null and empty texts have size 0; with no words at all every target
-is 0. Rows of size 0 are taken with their block but weigh nothing. Equal rows are drawn alike. An empty table
-gives none. Other columns may have any names in `mix`.
+is 0. Rows of size 0 are taken with their block but weigh nothing. Which of equal rows are taken depends on
+their places alone, so reruns over the same files agree. An empty table gives none. Other columns may have any
+names in `mix`.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlode.llm.common import partitions, stash
+from medlode.llm.common import partitions, prepared, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
@@ -36,12 +40,6 @@ SHARDS = 16
 MAX_SOURCES = 5_000
 #: About how many rows a partition of the mixture has.
 PART_ROWS = 10_000
-_UNIT = 1 << 40
-
-
-def chance(*of: Column) -> Column:
-    """A number from 0 to 1 that a hash of the columns decides."""
-    return F.pmod(F.xxhash64(*of), F.lit(_UNIT)) / float(_UNIT)
 
 
 def word_count(text: Column) -> Column:
@@ -68,39 +66,19 @@ def targets(sizes: DataFrame) -> DataFrame:
     return own.select("source", "source_size", "weight", "total", target.alias("target"))
 
 
-def _urn(quotas: Column, left: Column, node: Column) -> Column:
-    """Of the draws of each source the number that goes to the left half, `left` in all."""
-
-    def source(state, quota):
-        place = F.size(state["took"])
-        draw = lambda s, k: F.struct(
-            (s["left"] - F.when(chance(node, place, k) * s["all"] < s["left"], 1).otherwise(0)).alias("left"),
-            (s["all"] - 1).alias("all"),
-        )
-        urn = F.struct(state["left"].alias("left"), state["all"].alias("all"))
-        end = F.when(quota > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(quota, F.lit(1))), urn, draw)).otherwise(urn)
-        return F.struct(end["left"].alias("left"), end["all"].alias("all"), F.concat(state["took"], F.array(state["left"] - end["left"])).alias("took"))
-
-    total = F.aggregate(quotas, F.lit(0), lambda s, q: s + q)
-    start = F.struct(left.cast("int").alias("left"), total.alias("all"), F.array().cast("array<int>").alias("took"))
-    return F.aggregate(quotas, start, source)["took"]
-
-
-def split(quotas: DataFrame, shards: int) -> DataFrame:
-    """From one row with `quotas` array<int>, a place for each source: shard and the shard's quotas."""
-    nodes = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas")
+def split(draws: DataFrame, shards: int) -> DataFrame:
+    """draws with a shard for each row, by the tree."""
+    nodes = draws.withColumns({"lo": F.lit(0), "hi": F.lit(shards)})
     for _ in range(max(0, math.ceil(math.log2(shards)))):
+        node = Window.partitionBy("lo", "hi")
+        order = node.orderBy(F.xxhash64("lo", "hi", *[F.col(c) for c in draws.columns]), *draws.columns)
         mid = ((F.col("lo") + F.col("hi")) / 2).cast("int")
-        total = F.aggregate("quotas", F.lit(0), lambda s, q: s + q)
-        left = F.round(total * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        took = _urn(F.col("quotas"), left, F.struct("lo", "hi"))
-        nodes = nodes.withColumn("mid", mid).withColumn("took", F.when(F.col("hi") - F.col("lo") > 1, took))
-        right = F.zip_with("quotas", "took", lambda q, t: q - t)
-        halves = F.when(F.col("took").isNull(), F.array(F.struct("lo", "hi", "quotas"))).otherwise(
-            F.array(F.struct(F.col("lo"), F.col("mid").alias("hi"), F.col("took").alias("quotas")), F.struct(F.col("mid").alias("lo"), F.col("hi"), right.alias("quotas")))
-        )
-        nodes = nodes.select(F.inline(halves))
-    return nodes.select(F.col("lo").alias("shard"), "quotas")
+        left = F.round(F.count(F.lit(1)).over(node) * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        nodes = nodes.withColumn("goes_left", F.row_number().over(order) <= left).withColumn("mid", mid)
+        inner = F.col("hi") - F.col("lo") > 1
+        nodes = nodes.withColumns({"lo": F.when(inner & ~F.col("goes_left"), F.col("mid")).otherwise(F.col("lo")), "hi": F.when(inner & F.col("goes_left"), F.col("mid")).otherwise(F.col("hi"))})
+        nodes = nodes.drop("goes_left", "mid")
+    return nodes.withColumnRenamed("lo", "shard").drop("hi")
 
 
 def plan(sized: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -114,15 +92,20 @@ def plan(sized: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return own
 
 
-def drawn(sized: DataFrame, key: tuple[str, ...] = ("doc_id", "size"), shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
-    """sized (with source and size) and for each row: source_size, target, copies, taken, shards (array<int>)."""
-    return _drawn(sized, key, shards, blocks)[0]
+def ranked(sized: DataFrame, *key: str) -> DataFrame:
+    """sized with `rank`, a hash of the key columns and the row's place in the scan."""
+    prepared(sized.sparkSession)
+    return sized.withColumn("rank", F.xxhash64(*key, F.monotonically_increasing_id(), F.lit(11)))
+
+
+def drawn(sized: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
+    """sized (with source, size and rank) and for each row: source_size, target, copies, taken, shards (array<int>)."""
+    return _drawn(sized, shards, blocks)[0]
 
 
-def _drawn(sized: DataFrame, key: tuple[str, ...], shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+def _drawn(sized: DataFrame, shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
     """What `drawn` returns, and about how many rows and words each shard gets."""
     # one pass counts the words; all plans are made from its slim table
-    sized = sized.withColumn("rank", F.xxhash64(*[F.col(k) for k in key], F.lit(11)))
     slim = stash(sized.select("source", "size", "rank"), "sizes")
     sources = stash(plan(slim.select("source", "size"), blocks), "sources")
     few = (lambda df: F.broadcast(df)) if sources.count() <= MAX_SOURCES else (lambda df: df)
@@ -136,48 +119,40 @@ def _drawn(sized: DataFrame, key: tuple[str, ...], shards: int, blocks: int) ->
     held = place(slim).groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.coalesce("source", F.lit("")), F.lit(5)), "block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.withColumn("need", F.col("rest") - before).withColumn("place", F.row_number().over(order))
+    held = held.withColumn("need", F.col("rest") - before)
     held = held.withColumn("part", F.when(F.col("need") <= 0, 0).when(F.col("words") <= F.col("need"), 2).otherwise(1))
-    held = held.withColumn("draws", F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0))
-
-    # the tree: quotas of all sources, split among the shards; draws go to shards in the permuted order
-    by_source = held.groupBy("source").agg(F.sum("draws").cast("int").alias("quota"))
-    listed = by_source.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("source"), "quota"))).alias("all"))
-    row = listed.select(F.transform("all", lambda x: x["quota"]).alias("quotas"), F.transform("all", lambda x: F.struct(x["last"].alias("last"), x["source"].alias("source"))).alias("names"))
-    tree = split(row.select("quotas"), shards).crossJoin(F.broadcast(row.select("names"))).select("shard", F.posexplode(F.arrays_zip("names", "quotas")).alias("i", "x"))
-    tree = tree.select("shard", F.when(~F.col("x.names.last"), F.col("x.names.source")).alias("source"), F.col("x.quotas").alias("quota"))
-    upto = Window.partitionBy("source").orderBy("shard")
-    tree = tree.withColumn("to", F.sum("quota").over(upto)).withColumn("from", F.col("to") - F.col("quota")).where("quota > 0")
-    ranges = tree.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("to", "shard"))).alias("ranges"))
-    last = F.sum("draws").over(order)
-    held = held.withColumn("first_draw", last - F.col("draws")).join(few(ranges.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    where = lambda k: F.element_at(F.filter("ranges", lambda r: r["to"] > F.col("first_draw") + k), 1)["shard"]
-    spots = F.when(F.col("draws") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("draws") - 1, F.lit(0))), where)).otherwise(F.array().cast("array<int>"))
-    held = held.select(F.col("source").alias("s"), F.col("block").alias("b"), "need", "part", "rows", "words", spots.alias("spots"))
+    held = stash(held.withColumn("quota", F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)), "blocks")
 
+    # the tree deals the draws of all sources to the shards
+    draws = held.where("quota > 0").select("source", "block", F.explode(F.sequence(F.lit(1), F.col("quota"))).alias("draw"))
+    tree = split(draws, shards).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("draw", "shard"))).alias("spots"))
+    tree = tree.select(F.col("source").alias("s"), F.col("block").alias("b"), F.transform("spots", lambda x: x["shard"]).alias("spots"))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    held = held.join(tree, same, "left").select(F.col("source").alias("s"), F.col("block").alias("b"), "need", "part", "rows", "words", F.coalesce("spots", F.array().cast("array<int>")).alias("spots"))
     held = stash(held, "draws")
-    loads = held.select("rows", "words", F.explode("spots").alias("shard")).where(F.col("shard").isNotNull()).groupBy("shard").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
+    loads = held.select("rows", "words", F.explode("spots").alias("shard")).groupBy("shard").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words"))
     held = held.drop("rows", "words")
     cut = place(slim).join(few(held), same).where("part = 1").select("source", "rank", "size", "need")
     cut = cut.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size").rangeBetween(Window.unboundedPreceding, 0)))
-    # ranks up to the last that is in: rows of equal rank are in or out together
+    # ranks up to the last that is in
     cut = cut.withColumn("in", F.col("sum") - F.col("size") / 2 <= F.col("need")).where("in").groupBy("source").agg(F.max("rank").alias("upto"))
     cut = stash(cut, "cuts")
 
     def deal(df: DataFrame) -> DataFrame:
+        """Rows with what their block was drawn for (spots) and whether the last of these draws leaves them out."""
         df = place(df).join(few(held), same).drop("s", "b").join(few(cut.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-        return df.withColumn("extra", (F.col("part") == 2) | ((F.col("part") == 1) & F.coalesce(F.col("rank") <= F.col("upto"), F.lit(False))))
+        out = (F.col("part") == 1) & ~F.coalesce(F.col("rank") <= F.col("upto"), F.lit(False))
+        return df.withColumn("copies", F.size("spots") - out.cast("int")).withColumn("extra", (F.col("part") > 0) & ~out)
 
     # what whole rows still leave of a source's target goes to the row, of all others, that fits it best
-    short = deal(slim).groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("short"))
+    short = deal(slim).groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
     short = stash(short.withColumnRenamed("source", "s"), "short")
     off = F.abs(F.abs("short") - F.col("size"))
     fit = deal(slim).join(few(short), F.col("source").eqNullSafe(F.col("s"))).where((F.col("extra") == (F.col("short") < 0)) & (off < F.abs("short")))
     fit = stash(fit.groupBy("s").agg(F.min(F.struct(off.alias("off"), "rank")).alias("best")).select("s", F.col("best.rank").alias("flipped")), "fit")
     dealt = deal(sized).join(few(fit), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    copies = F.col("passes") + F.when(F.col("extra") != F.coalesce(F.col("rank") == F.col("flipped"), F.lit(False)), 1).otherwise(0)
-    out = dealt.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    flip = F.when(F.coalesce(F.col("rank") == F.col("flipped"), F.lit(False)), F.when(F.col("extra"), -1).otherwise(1)).otherwise(0)
+    out = dealt.withColumn("copies", F.col("copies") + flip).withColumn("taken", F.col("copies") * F.col("size"))
     spare = F.array(F.pmod("rank", F.lit(shards)).cast("int"))
     out = out.withColumn("shards", F.slice(F.concat("spots", spare), F.lit(1), F.col("copies")))
     return out.drop("blocks", "passes", "rest", "block", "need", "part", "spots", "upto", "extra", "flipped"), loads
@@ -192,7 +167,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, source_col:
     """
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     own = own.select("doc", F.col(f"doc.{source_col}").cast("string").alias("source"), word_count(F.col(f"doc.{text_col}")).alias("size"), F.col(f"doc.{id_col}").alias("doc_id"))
-    out, loads = _drawn(own, ("doc_id", "size"), shards, blocks)
+    out, loads = _drawn(ranked(own, "doc_id", "size"), shards, blocks)
     copies = out.where("copies > 0").select("doc", "rank", F.posexplode("shards").alias("copy", "shard"))
     # a shard has partitions of its own, as many as its share of rows or words asks for
     loads = {r.shard: (r.rows, r.words) for r in loads.collect()}

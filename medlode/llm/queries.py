@@ -27,7 +27,7 @@ def learns_language():
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), mixing.word_count(F.col("text")).alias("size"))
-    return mixing.drawn(stash(sized, "sized")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixing.drawn(stash(mixing.ranked(sized, "doc_id", "size"), "sized")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
