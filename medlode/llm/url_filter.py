@@ -3,22 +3,26 @@
 Rules come first: a rule fits its host and all its subdomains if the path begins with the rule's; the longest
 fitting rule decides. All urls that rules decide are the labelled ones from which the tree learns.
 
-The tree of a host has a node for each prefix of at most DEPTH path segments, or as many as the longest rule
-has: no rule tells longer paths apart. Segments with digits become wildcards at once. Labelled branches whose
-share of blocks does not differ from their labelled siblings' by Z standard errors are merged into a wildcard,
-others stay. Unlabelled branches are never merged with labelled ones, so these can't decide them; where they
-are more than FAN they are merged among each other, which names templates but changes no verdict. Templates are judged by their labelled purity, smoothed towards what the
-templates above, the host and the domain (the last two labels of the host, so that hosts under a suffix like
-co.uk share one) tell; a url is blocked when its template's is THRESHOLD or more.
-
-What a level tells those below it is counted by rules, not urls: all urls of one rule have one label, and a
-rule for one path says little of the others. Rules that a template has itself don't count again above it. So
-one rule never blocks other paths, but several that block, with none that allows, block their host's or
-domain's unruled urls. All urls together tell nothing, lest rules that only block would block everything.
+Segments with digits are variable: they become wildcards at once (with their ending, as in *.html). The tree of
+a host then grows level by level, as deep as its paths and only where a node's urls differ in label, or some
+have one and others none. In a node
+- labelled branches whose share of blocks does not differ from that of their labelled siblings by Z standard
+  errors are alike, and are merged into a wildcard `*`; others stay by themselves;
+- unlabelled branches are alike the labelled ones (those that are alike each other, or the only one) if they
+  look like those together: neither the share of urls that go on with a variable segment nor of those that end
+  there differs by Z standard errors. They are merged into a wildcard `**`, which has the labelled urls of those
+  as evidence; so what is known of labelled branches reaches them, and they don't water it down.
+
+A template is judged by its labelled purity: blocked urls of labelled ones, smoothed by WEIGHT urls as its parent
+node is judged, and by its unlabelled urls, of which each counts as much as UNLABELLED allowed ones. At the top
+are the domain (the last two labels of the host) and the host; above them PRIOR. A url is blocked when its
+template's purity is THRESHOLD or more. So an unlabelled branch is blocked with the siblings it looks like, if
+what is known to be blocked outweighs what nobody has labelled.
 
 Null urls and urls without `://` have an empty host and path, and are judged as such. With no labelled urls
-purity is the prior, and all are allowed. Repeated rows get equal results, an empty table none. Only counts
-by segment are shuffled, pre-aggregated; windows are not used, so a hot host is not one task.
+purity is the prior or less, and all are allowed. Repeated rows get equal results, an empty table none. Equal
+hosts and generalised paths are one row before any shuffle of the tree; windows are not used, so a hot host is
+not one task.
 """
 
 from __future__ import annotations
@@ -30,12 +34,8 @@ from medlode.llm.common import stash
 
 #: The rules of the stated query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-DEPTH = 3
-FAN = 50
-Z = 2.0
-#: A template's purity is that of as many labelled urls more as WEIGHT, blocked as the level above tells, where
-#: again WEIGHT rules are added to the level's own; at the top PRIOR of them are blocked.
-PRIOR, WEIGHT = 0.2, 4.0
+Z = 1.0
+PRIOR, WEIGHT, UNLABELLED = 0.2, 4.0, 0.25
 THRESHOLD = 0.5
 
 
@@ -58,63 +58,92 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _segment(path: Column, k: int) -> Column:
-    """The k-th segment, * if it has a digit, null beyond the last."""
-    own = F.get(F.split(F.regexp_replace(path, "^/+", ""), "/+"), k)
-    return F.when(own.rlike("[0-9]"), "*").when(own != "", own)
-
-
-def templates(urls: DataFrame, depth: int = DEPTH, fan: int = FAN, z: float = Z) -> DataFrame:
-    """urls with template columns t0, t1, ..., each the node of its level.
-
-    urls needs host, path, blocked and labelled (0 or 1). Nodes with labelled urls and those without are kept
-    apart (known0, known1, ...), as wildcards of both can have the same name.
-    """
-    urls = urls.withColumns({f"s{k}": _segment(F.col("path"), k) for k in range(depth)}).withColumns({"node": F.col("host"), "known": F.lit(True)})
-    for k in range(depth):
-        branch = urls.where(F.col(f"s{k}").isNotNull()).groupBy("node", "known", F.col(f"s{k}").alias("segment")).agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
-        whole = branch.groupBy("node", "known").agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"), F.count(F.when(F.col("labelled") == 0, 1)).alias("unlabelled"))
-        joined = branch.join(whole, ["node", "known"])
-        others, other_blocks = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
-        pooled = (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-        apart = F.abs(F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - other_blocks / F.greatest(others, F.lit(1)))
-        alike = (F.col("labelled") > 0) & (others > 0) & (apart <= z * error)
-        rest = (F.col("labelled") == 0) & (F.col("unlabelled") > fan)
-        segment = F.when(rest | alike, F.lit("*")).otherwise(F.col("segment"))
-        own = joined.select(F.col("node").alias("at"), F.col("known").alias("of"), F.col("segment").alias("was"), F.concat("node", F.lit("/"), segment).alias("template"), (F.col("labelled") > 0).alias("now"))
-        urls = urls.join(own, (F.col("node") == F.col("at")) & (F.col("known") == F.col("of")) & (F.col(f"s{k}") == F.col("was")), "left").drop("at", "of", "was")
-        urls = urls.withColumns({f"t{k}": F.coalesce("template", "node"), f"known{k}": F.coalesce("now", "known")}).withColumns({"node": F.col(f"t{k}"), "known": F.col(f"known{k}")}).drop("template", "now")
-    return urls
-
-
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = DEPTH, fan: int = FAN, z: float = Z) -> DataFrame:
+def general(path: Column) -> Column:
+    """The path with each segment that has a digit as a wildcard; empty segments are left out."""
+    wild = lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"\.[A-Za-z]+$", 0))).otherwise(s)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), wild)
+
+
+def _purity(above: Column, seen: Column | int = 0, seen_blocked: Column | int = 0) -> Column:
+    """The purity of a template, with evidence besides its own."""
+    return (F.col("blocked") + seen_blocked + WEIGHT * above) / (F.col("labelled") + seen + WEIGHT + UNLABELLED * (F.col("n") - F.col("labelled")))
+
+
+def _apart(part: str, size: str, all_part: str, all_size: str) -> Column:
+    """By how many standard errors a branch's share of something differs from a group's."""
+    a, n, b, m = (F.col(c) for c in (part, size, all_part, all_size))
+    pooled = (a + b + 1) / (n + m + 2)
+    return F.abs(a / n - b / m) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+
+
+_COUNTS = ("n", "labelled", "blocked")
+
+
+def _sums(*more: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in (*_COUNTS, *more)]
+
+
+def _mixed() -> Column:
+    """Whether urls of a node differ in label, or in whether they have one."""
+    return (F.col("labelled") > 0) & ((F.col("labelled") < F.col("n")) | ((F.col("blocked") > 0) & (F.col("blocked") < F.col("labelled"))))
+
+
+def branches(urls: DataFrame, level: int, z: float = Z) -> DataFrame:
+    """The branches of all open nodes at a level: node, segment, counts, and the name they get (`merged`)."""
+    segment, after = F.get("segments", F.lit(level)), F.get("segments", F.lit(level + 1))
+    own = urls.where(F.col("open") & segment.isNotNull()).withColumn("segment", segment)
+    own = own.withColumns({"wild": F.when(after.startswith("*"), F.col("n")).otherwise(0), "ends": F.when(after.isNull(), F.col("n")).otherwise(0)})
+    own = stash(own.groupBy("node", "purity", "segment").agg(*_sums("wild", "ends")), "branches")
+    known = own.where("labelled > 0")
+    # of several labelled branches each is compared with the others
+    whole = known.groupBy(F.col("node").alias("w")).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.count(F.lit(1)).alias("of"))
+    met = known.join(whole, F.col("node") == F.col("w")).drop("w").withColumns({"other_labelled": F.col("all_labelled") - F.col("labelled"), "other_blocked": F.col("all_blocked") - F.col("blocked")})
+    alike = (F.col("of") == 1) | (_apart("blocked", "labelled", "other_blocked", "other_labelled") <= z)
+    known = met.withColumn("alike", alike).withColumn("merged", F.when(F.col("alike") & (F.col("of") > 1), "*").otherwise(F.col("segment")))
+    known = stash(known.select(*own.columns, "alike", "merged"), "known")
+    # what the alike ones look like together, and which unlabelled ones look like that
+    look = known.where("alike").groupBy(F.col("node").alias("w")).agg(
+        F.sum("n").alias("all_n"), F.sum("wild").alias("all_wild"), F.sum("ends").alias("all_ends"), F.sum("labelled").alias("seen"), F.sum("blocked").alias("seen_blocked")
+    )
+    open_ = own.where("labelled = 0").join(look, F.col("node") == F.col("w"), "left").drop("w")
+    same = F.col("all_n").isNotNull() & (_apart("wild", "n", "all_wild", "all_n") <= z) & (_apart("ends", "n", "all_ends", "all_n") <= z)
+    open_ = open_.withColumn("merged", F.when(same, "**").otherwise(F.col("segment")))
+    open_ = open_.withColumns({c: F.when(same, F.col(c)).otherwise(0) for c in ("seen", "seen_blocked")})
+    none = {c: F.lit(0).cast("long") for c in ("seen", "seen_blocked")}
+    kept = ["node", "purity", "segment", *_COUNTS, "merged", "seen", "seen_blocked"]
+    return known.withColumns(none).select(*kept).unionByName(open_.select(*kept))
+
+
+def templates(urls: DataFrame, z: float = Z) -> DataFrame:
+    """urls (host, segments and counts n, labelled, blocked) with the template of each and its purity."""
+    domain = F.substring_index("host", ".", -2)
+    above = urls.groupBy(domain.alias("d")).agg(*_sums()).select("d", _purity(F.lit(PRIOR)).alias("above"))
+    hosts = urls.groupBy("host").agg(*_sums()).join(above, F.substring_index("host", ".", -2) == F.col("d"))
+    hosts = hosts.select(F.col("host").alias("h"), F.col("host").alias("node"), _purity(F.col("above")).alias("purity"), _mixed().alias("open"))
+    urls = stash(urls.join(hosts, F.col("host") == F.col("h")).drop("h"), "hosts")
+    level = 0
+    while not urls.where(F.col("open") & F.get("segments", F.lit(level)).isNotNull()).isEmpty():
+        found = stash(branches(urls, level, z), "merged")
+        nodes = found.groupBy("node", "purity", "merged").agg(*_sums(), F.max("seen").alias("seen"), F.max("seen_blocked").alias("seen_blocked"))
+        nodes = nodes.select(F.col("node").alias("w"), F.col("merged").alias("m"), F.concat("node", F.lit("/"), "merged").alias("next"), _purity(F.col("purity"), F.col("seen"), F.col("seen_blocked")).alias("next_purity"), _mixed().alias("next_open"))
+        names = found.select(F.col("node").alias("v"), "segment", "merged").join(nodes, (F.col("v") == F.col("w")) & (F.col("merged") == F.col("m"))).drop("w", "m", "merged")
+        on = F.col("open") & (F.col("node") == F.col("v")) & (F.get("segments", F.lit(level)) == F.col("segment"))
+        urls = urls.join(names, on, "left")
+        # urls that end here, or whose node isn't open, have their template
+        now = F.coalesce("next", "node").alias("node"), F.coalesce("next_purity", "purity").alias("purity"), F.coalesce("next_open", F.lit(False)).alias("open")
+        urls = stash(urls.select("host", "segments", *_COUNTS, *now), "tree")
+        level += 1
+    return urls.withColumnRenamed("node", "template").drop("open")
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = Z) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, template, purity."""
-    depth = max([depth, *(len([x for x in p.split("/") if x]) for _, p, _ in rules)])
     url = F.col(url_col).cast("string")
     own = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = own.withColumn("rule", name).withColumn("ruled", verdict)
-    # one row for all urls of a host and path before any shuffle of the tree
-    seen = own.groupBy("host", "path", "rule", "ruled").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.withColumn("labelled", F.when(F.col("ruled").isNotNull(), F.col("n")).otherwise(0)).withColumn("blocked", F.when(F.col("ruled") == "block", F.col("n")).otherwise(0))
-    seen = stash(seen, "urls")
-    tree = templates(seen, depth, fan, z)
-    tree = stash(tree.withColumn("domain", F.substring_index("host", ".", -2)), "tree")
-    levels = ["domain", "host", *[f"t{k}" for k in range(depth)]]
-    rules_of = lambda which: F.size(F.collect_set(F.when(which, F.col("rule"))))
-    for level in levels:
-        apart = F.col(level.replace("t", "known")) if level[1:].isdigit() else F.lit(True)
-        known = tree.groupBy(F.col(level).alias("key"), apart.alias("labels")).agg(
-            F.sum("blocked").alias(f"b_{level}"), F.sum("labelled").alias(f"l_{level}"), rules_of(F.col("ruled") == "block").alias(f"rb_{level}"), rules_of(F.col("ruled").isNotNull()).alias(f"rl_{level}")
-        )
-        tree = tree.join(known, (F.col(level) == F.col("key")) & (apart == F.col("labels")), "left").drop("key", "labels")
-    # the rules of a level that aren't those of the level below it; a level has all rules of the one below
-    purity = F.lit(PRIOR)
-    for level, below in zip(levels, levels[1:], strict=False):
-        more = lambda kind: F.col(f"{kind}_{level}") - F.col(f"{kind}_{below}")  # noqa: B023, E731
-        purity = (more("rb") + WEIGHT * purity) / (more("rl") + WEIGHT)
-    tree = tree.withColumn("purity", (F.col(f"b_{levels[-1]}") + WEIGHT * purity) / (F.col(f"l_{levels[-1]}") + WEIGHT))
-    found = tree.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col(f"t{depth - 1}").alias("template"), "purity")
-    found = own.join(found, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    own = own.withColumns({"rule": name, "ruled": verdict, "segments": general(F.col("path"))})
+    flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    seen = own.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), flag(F.col("ruled").isNotNull()).alias("labelled"), flag(F.col("ruled") == "block").alias("blocked"))
+    found = templates(stash(seen, "urls"), z).select(F.col("host").alias("h"), F.col("segments").alias("s"), "template", "purity")
+    found = own.join(found, (F.col("host") == F.col("h")) & (F.col("segments") == F.col("s")), "left")
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= THRESHOLD, "block").otherwise("allow")).alias("verdict"), "template", "purity")
