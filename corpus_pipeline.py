@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each reads all that the one before it kept.
 
 Language ID drops documents without a language or between two; the n-gram join keeps one document of each
-class; decontamination drops documents that hold a window of ten words of a benchmark item; the mix repeats or leaves out documents until sources have their shares; sharding deals what is left into shards.
+class; decontamination drops documents that hold a window of ten words of a benchmark item; the mix repeats or
+leaves out documents until sources have their shares; sharding deals what is left into shards.
 Ids needn't differ between rows, as the mix repeats documents. Rows with null texts go with the first stage.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlode.llm import decontaminate, language_id, mixing, ngram_join, sharding
-from medlode.llm.common import shared_dir
+from medlode.llm.common import clear, delete, shared_dir
 from medlode.llm.queries import learns_language, table
 
 
@@ -54,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Once a stage is written, what it and the one before it wrote is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        clear(spark)
+        if k:
+            delete(spark, f"{base}/{k - 1}")
     return docs
