@@ -34,7 +34,7 @@ from medlode.llm.common import stash
 
 #: The rules of the stated query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-Z = 1.0
+Z = 2.0
 PRIOR, WEIGHT, UNLABELLED = 0.2, 4.0, 0.25
 THRESHOLD = 0.5
 
