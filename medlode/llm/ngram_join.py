@@ -308,7 +308,8 @@ def classes(own: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     places = stash(places.groupBy("row").agg(F.collect_list(F.struct("pivot", "own", "blocks")).alias("places")).join(members, "row").select(F.col("row").alias("node"), "copies", "pivots", "places"), "places")
     size = places.agg(F.coalesce(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["blocks"])), F.lit(0))).first()[0]
     texts = own.select(F.col("row").alias("node"), "text")
-    met = places.join(texts, "node").select("node", "copies", "pivots", "text", F.inline("places"))
+    # by shuffle at any size: a table of members grows with the input
+    met = places.join(texts.hint("merge"), "node").select("node", "copies", "pivots", "text", F.inline("places"))
     met = met.select("node", "copies", "pivots", "text", "pivot", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
     met = met.select("pivot", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side, "node", "copies", "pivots", "text")
@@ -344,4 +345,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with one document of each class."""
     own = numbered(docs, id_col, text_col)
     dropped = classes(own).where(~F.col("first")).select("row")
-    return own.select("row", "doc").join(dropped, "row", "left_anti").select("doc.*")
+    return own.select("row", "doc").hint("merge").join(dropped, "row", "left_anti").select("doc.*")

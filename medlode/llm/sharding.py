@@ -52,15 +52,16 @@ def splitters(keys: DataFrame, ranges: int = RANGES, sampled: int = SAMPLED) ->
     times = F.greatest(F.round(F.col("size") * float(ranges * sampled) / F.col("total")), F.lit(1)).cast("int")
     sample = keys.crossJoin(F.broadcast(total)).where(hit).select("a", "b", "c", times.alias("times"))
     listed = sample.agg(F.array_sort(F.collect_list(F.struct("a", "b", "c", "times"))).alias("all"))
+    # each step is written, or Spark would work it out again for every element of the next
     flat = F.flatten(F.transform("all", lambda x: F.array_repeat(F.struct(x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c")), x["times"])))
     n = F.size("flat")
     picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("flat", (k * n / ranges).cast("int")))
     cuts = F.array_distinct(F.filter(F.when(n > 0, picked).otherwise(F.array().cast(_KEY)), lambda x: x.isNotNull()))
-    row = listed.select(flat.alias("flat")).select(cuts.alias("cuts"))
+    row = stash(stash(listed.select(flat.alias("flat")), "sample").select(cuts.alias("cuts")), "cuts")
     several = F.transform("cuts", lambda x, i: (F.get("cuts", i - 1)["a"] == x["a"]) | (F.get("cuts", i + 1)["a"] == x["a"]))
     least = F.lit(-(1 << 63)).cast("long")
     moved = F.transform(F.arrays_zip(F.col("cuts").alias("x"), several.alias("many")), lambda z: F.when(F.coalesce(z["many"], F.lit(False)), z["x"]).otherwise(F.struct(z["x"]["a"].alias("a"), least.alias("b"), least.alias("c"))))
-    return row.select(moved.alias("cuts"))
+    return stash(row.select(moved.alias("cuts")), "cuts")
 
 
 def grouped(cuts: DataFrame, bits: int) -> DataFrame:
@@ -114,7 +115,7 @@ def shards(docs: DataFrame, count: int = SHARDS, ranges: int | None = None, text
     done = run.join(F.broadcast(counts), (F.col("shard") == F.col("s")) & (F.col("range") == F.col("r")))
     done = done.withColumn("slot", (F.col("ahead") + F.col("place") - F.col("from")).cast("long"))
     if carry:
-        done = own.select(F.col("row").alias("o"), "doc").join(done.select("row", "size", "crc", "shard", "slot"), F.col("o") == F.col("row"))
+        done = own.select(F.col("row").alias("o"), "doc").hint("merge").join(done.select("row", "size", "crc", "shard", "slot"), F.col("o") == F.col("row"))
     fields = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns] if carry else [F.col("id").alias(id_col)]
     more = ((F.col("size"), "size"), (F.col("crc").cast("long"), "text_crc32"), (F.lit("bytes"), "law"), (F.col("shard"), "shard"), (F.col("slot"), "slot"), (F.lit(None).cast("int"), "grown_shard"))
     return done.select(*fields, *[c.alias(n) for c, n in more if n not in docs.columns or not carry])
