@@ -11,6 +11,13 @@ from medlode.errors import Invalid
 _ESCAPABLE = "$,|\\"
 
 
+def valid_type(kind: str) -> bool:
+    """Whether a type of this name exists."""
+    from medlode.plans.registry import TYPES
+
+    return kind in TYPES
+
+
 def pieces(value: str, by: str) -> list[str]:
     """Splits at unescaped delimiters; other escapes stay for later splits."""
     out, part, k = [], "", 0

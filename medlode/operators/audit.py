@@ -12,6 +12,11 @@ from medlode.functions.dates import FIRST, LAST, sought
 from medlode.operators.access import Access
 from medlode.plans.params import DEFAULT_COUNT, MAX_COUNT, pairs, whole_number
 
+AUDIT_SCHEMA = "tenant_id string, id string, parent_audit_id string, action string, outcome string, http_status int, subject_id string, resource_type string, resource_id string, interaction string, recorded_at timestamp"
+#: The status of a mutation's outcome.
+STATUS_OF = {"created": 201, "updated": 200, "patched": 200, "deleted": 204, "existing": 200, "exists": 409, "not-found": 404, "mismatch": 412, "multiple": 412, "invalid": 422}
+# Why a child of a bundle failed, by its status.
+REASONS = {400: "bad-request", 403: "forbidden", 404: "not-found", 405: "method-not-allowed", 409: "conflict", 412: "precondition-failed"}
 _EQUAL = {"_id": "id", "action": "action", "outcome": "outcome", "agent": "subject_id", "code": "interaction"}
 
 
@@ -68,6 +73,16 @@ def find(events: DataFrame, access: Access, query: str) -> DataFrame:
     return own.orderBy("id").limit(count + 1)
 
 
+def outcome_name(status: int) -> str:
+    return "success" if status < 400 else "minor-failure" if status < 500 else "serious-failure"
+
+
+def reason_of(status: Column) -> Column:
+    """Why a child of a bundle failed; null if it didn't."""
+    known = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return F.when(status >= 400, F.coalesce(known[status.cast("int")], F.lit("server-error")))
+
+
 def outcome_of(status: Column) -> Column:
     return F.when(status < 400, "success").when(status < 500, "minor-failure").otherwise("serious-failure")
 
@@ -102,6 +117,17 @@ def resource(events: DataFrame) -> DataFrame:
     return events.select("id", F.to_json(body).alias("resource"))
 
 
+def of_outcomes(outcomes: DataFrame, method: str, access: Access, at: Column) -> DataFrame:
+    """An audit row for each outcome of a mutation, to append in one commit with its history rows."""
+    status = F.create_map(*[F.lit(x) for kv in STATUS_OF.items() for x in kv])[F.col("outcome")]
+    name = {"POST": "create", "PUT": "update", "PATCH": "patch", "DELETE": "delete"}[method]
+    key = F.sha2(F.concat_ws("/", F.lit(access.tenant), "resource_type", "id", F.lit(name), at.cast("string")), 256)
+    return outcomes.select(
+        F.lit(access.tenant).alias("tenant_id"), key.alias("id"), F.lit(None).cast("string").alias("parent_audit_id"), action_of(F.lit(method), F.lit(False)).alias("action"), outcome_of(status).alias("outcome"),
+        status.alias("http_status"), F.lit(access.subject).alias("subject_id"), "resource_type", F.col("id").alias("resource_id"), F.lit(name).alias("interaction"), at.alias("recorded_at"),
+    )
+
+
 def family(events: DataFrame) -> DataFrame:
     """Parents with the number of their children and how many of these failed."""
     kids = events.where(F.col("parent_audit_id").isNotNull()).groupBy(F.col("parent_audit_id").alias("id")).agg(F.count(F.lit(1)).alias("children"), F.count(F.when(F.col("http_status") >= 400, 1)).alias("failed"))

@@ -8,6 +8,7 @@ from urllib.parse import quote, urlencode
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medlode.errors import Invalid
 from medlode.operators.access import Access
 from medlode.plans.compile import condition
 from medlode.plans.params import Search, beyond, encode_cursor, pairs, parse
@@ -61,6 +62,15 @@ def bundle(page: Page, base: str, kind: str, query: str) -> dict:
     return {"resourceType": "Bundle", "type": "searchset", "total": page.total, "link": links, "entry": entries}
 
 
+def conditional(kind: str, query: str, registry=None) -> Search:
+    """The search of a conditional create; one without filters would match everything and is refused."""
+    search = parse(kind, query, registry)
+    if not search.filters:
+        raise Invalid("a condition needs a search parameter")
+    return search
+
+
 def matches_of(resources: DataFrame, access: Access, kind: str, query: str) -> list:
     """At most two ids: enough to tell none, one and many."""
-    return [r.id for r in matching(resources, access, kind, parse(kind, query)).select("id").limit(2).collect()]
+    found = matching(resources, access, kind, conditional(kind, query)).orderBy("id").select("id").limit(2)
+    return [r.id for r in found.collect()]

@@ -2,17 +2,27 @@
 
 A history row is tenant_id, resource_type, id, version_id, last_updated, deleted, resource. Each operator takes
 the history and a frame of operations (tenant_id, resource_type, id, resource, and version_id where one is
-expected; one operation a key) and gives an outcome a key, with the row to append where it succeeded. Versions
-meet operations in one equi-join on the key, behind an aggregate with partial sums. One writer commits at a time.
+expected; one operation a key) and gives an outcome a key, with the row to append where it succeeded. Only the
+history of the operations' tenants, types and keys is read and grouped: tenants and types prune folders, keys
+are a semi-join. `commit` appends history and audit rows together. One writer commits at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import timezone
+from functools import reduce
+from operator import or_
+from urllib.parse import urlencode
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from medlode.errors import Gone, NotFound
-from medlode.plans.params import pairs, whole_number
+from medlode.errors import Gone, Invalid, NotFound, Unprocessable
+from medlode.plans.params import DEFAULT_COUNT, MAX_COUNT, pairs, whole_number
 
 KEY = ["tenant_id", "resource_type", "id"]
 
@@ -30,8 +40,19 @@ def current(history: DataFrame) -> DataFrame:
     return last.where(~F.col("last.deleted")).select(*KEY, *[F.col(f"last.{c}").alias(c) for c in rest if c != "deleted"])
 
 
+def touched(history: DataFrame, ops: DataFrame, most: int = 1000) -> DataFrame:
+    """The history of the operations' keys. Up to `most` tenants and types go to the scan as a filter."""
+    kinds = ops.select(*KEY[:2]).distinct().limit(most + 1).collect()
+    if len(kinds) <= most:
+        by: dict[str, set[str]] = {}
+        for r in kinds:
+            by.setdefault(r.tenant_id, set()).add(r.resource_type)
+        history = history.where(reduce(or_, ((F.col("tenant_id") == t) & F.col("resource_type").isin(sorted(ks)) for t, ks in by.items()), F.lit(False)))
+    return history.join(ops.select(*KEY), KEY, "left_semi")
+
+
 def _met(history: DataFrame, ops: DataFrame) -> DataFrame:
-    return ops.join(heads(history), KEY, "left").withColumn("live", F.coalesce(~F.col("head_deleted"), F.lit(False)))
+    return ops.join(heads(touched(history, ops)), KEY, "left").withColumn("live", F.coalesce(~F.col("head_deleted"), F.lit(False)))
 
 
 def _outcome(met: DataFrame, outcome: Column, version: Column, done: tuple[str, ...]) -> DataFrame:
@@ -73,7 +94,8 @@ def appended(history: DataFrame, outcomes: DataFrame, at: Column) -> DataFrame:
     """The history rows of the outcomes that succeeded; a tombstone keeps the last body."""
     done = outcomes.where(F.col("new_version").isNotNull())
     gone = F.col("outcome") == "deleted"
-    last = history.groupBy(*KEY).agg(F.max_by("resource", "version_id").alias("last_body"))
+    # bodies of what is deleted alone are read
+    last = touched(history, done.where(gone)).groupBy(*KEY).agg(F.max_by("resource", "version_id").alias("last_body"))
     done = done.join(last, KEY, "left")
     body = F.when(gone, F.col("last_body")).otherwise(F.col("resource"))
     return done.select(*KEY, F.col("new_version").alias("version_id"), at.alias("last_updated"), gone.alias("deleted"), body.alias("resource"))
@@ -90,28 +112,117 @@ def read(history: DataFrame, tenant: str, kind: str, key: str):
     return row
 
 
+def history_query(query: str) -> tuple[int, int | None]:
+    """Count and cursor of a history query; nothing else is known, and each may come once."""
+    given: dict[str, str] = {}
+    for name, value in pairs(query):
+        if name not in ("_count", "_after_id"):
+            raise Invalid(f"unknown history parameter {name}")
+        if name in given:
+            raise Invalid(f"{name} may come once")
+        given[name] = value
+    after = given.get("_after_id")
+    return whole_number(given.get("_count", str(DEFAULT_COUNT)), 1, MAX_COUNT), None if after is None else whole_number(after, 1, (1 << 63) - 1)
+
+
+def version_rows(history: DataFrame, tenant: str, kind: str, key: str, query: str = "") -> DataFrame:
+    """A page of the versions of a resource, newest first, and one more: a top-k of one key's rows."""
+    count, after = history_query(query)
+    own = history.where((F.col("tenant_id") == tenant) & (F.col("resource_type") == kind) & (F.col("id") == key))
+    page = own if after is None else own.where(F.col("version_id") < after)
+    return page.orderBy(F.col("version_id").desc()).limit(count + 1)
+
+
 def versions(history: DataFrame, tenant: str, kind: str, key: str, query: str = "") -> tuple[list, int | None]:
     """A page of the versions of a resource, newest first, and the next cursor."""
-    given = dict(pairs(query))
-    count = whole_number(given.pop("_count", "128"), 1, 2048)
-    after = given.pop("_after_id", None)
-    if given:
-        raise NotFound(f"unknown parameter {next(iter(given))}")
-    own = history.where((F.col("tenant_id") == tenant) & (F.col("resource_type") == kind) & (F.col("id") == key))
-    page = own if after is None else own.where(F.col("version_id") < whole_number(after, 1, (1 << 63) - 1))
-    rows = page.orderBy(F.col("version_id").desc()).select("id", "version_id", "last_updated", "deleted", F.to_json("resource").alias("resource")).limit(count + 1).collect()
-    if not rows and (after is None or own.isEmpty()):
+    count, after = history_query(query)
+    rows = version_rows(history, tenant, kind, key, query).select("id", "version_id", "last_updated", "deleted", F.to_json("resource").alias("resource")).collect()
+    known = (F.col("tenant_id") == tenant) & (F.col("resource_type") == kind) & (F.col("id") == key)
+    if not rows and (after is None or history.where(known).isEmpty()):
         raise NotFound(f"no {kind}/{key}")
     return rows[:count], rows[count - 1].version_id if len(rows) > count else None
 
 
-def history_bundle(rows: list, kind: str) -> dict:
+def history_bundle(rows: list, kind: str, key: str, base: str, query: str = "", next_cursor: int | None = None) -> dict:
+    """A history bundle of a page, with self and next links and without a total."""
+    base = base.rstrip("/")
+    count, after = history_query(query)
+    url = lambda cursor: f"{base}/{kind}/{key}/_history?" + urlencode([("_count", count), *([] if cursor is None else [("_after_id", cursor)])])
+    links = [{"relation": "self", "url": url(after)}]
+    if next_cursor is not None:
+        links.append({"relation": "next", "url": url(next_cursor)})
     entry = lambda r: {
+        "fullUrl": f"{base}/{kind}/{r.id}/_history/{r.version_id}",
+        "resource": json.loads(r.resource),
         "request": {"method": "DELETE" if r.deleted else "PUT", "url": f"{kind}/{r.id}"},
-        "response": {"status": "410 Gone" if r.deleted else "200 OK", "etag": f'W/"{r.version_id}"'},
-        **({} if r.deleted else {"resource": r.resource}),
+        "response": {"status": "410 Gone" if r.deleted else "200 OK", "etag": f'W/"{r.version_id}"', "lastModified": r.last_updated.astimezone(timezone.utc).isoformat()},
     }
-    return {"resourceType": "Bundle", "type": "history", "entry": [entry(r) for r in rows]}
+    return {"resourceType": "Bundle", "type": "history", "link": links, "entry": [entry(r) for r in rows]}
+
+
+def conditional_create(history: DataFrame, matches: DataFrame, ops: DataFrame) -> DataFrame:
+    """Creates what no live resource matches yet.
+
+    matches has a row (op_id, id) for each resource that an operation's search finds; ops have op_id besides the
+    key under which they would be created. None creates, one is what exists already, several are refused. Of
+    operations with one lock key (see lock_key) the first by op_id decides for the others: they find what it created.
+    """
+    found = matches.groupBy("op_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("found"))
+    met = ops.join(found, "op_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = met.where("n = 0").groupBy("lock").agg(F.min_by("id", "op_id").alias("made"))
+    met = met.join(first, "lock", "left")
+    late = (F.col("n") == 0) & (F.col("id") != F.col("made"))
+    out = met.withColumn("found", F.when(F.col("n") == 1, F.col("found")).when(late, F.col("made")))
+    state = F.when(F.col("n") > 1, "multiple").when(F.col("found").isNotNull(), "existing").when(F.col("head_version").isNotNull(), "exists").otherwise("created")
+    out = out.join(heads(touched(history, ops)), KEY, "left").withColumn("live", F.lit(False))
+    return _outcome(out, state, F.lit(1), ("created",)).drop("n", "made")
+
+
+def patch(history: DataFrame, ops: DataFrame) -> DataFrame:
+    """JSON Patch over rows: `steps` (JSON text) are applied to live bodies; version_id, if given, has to be live.
+
+    A document that can't be patched, or would change its type or id, is `invalid`; its row stays as it is.
+    """
+    own = ops.join(heads(touched(history, ops)), KEY, "left").withColumn("live", F.coalesce(~F.col("head_deleted"), F.lit(False)))
+    body = touched(history, ops).groupBy(*KEY).agg(F.max_by(F.to_json("resource"), "version_id").alias("body"))
+    own = own.join(body, KEY, "left").withColumn("patched", F.when(F.col("live"), _patched("body", "steps")))
+    other = F.col("version_id").isNotNull() & (F.col("version_id") != F.col("head_version"))
+    state = F.when(~F.col("live"), "not-found").when(other, "mismatch").when(F.col("patched").isNull(), "invalid").otherwise("patched")
+    own = own.withColumn("resource", F.try_parse_json("patched"))
+    return _outcome(own, state, F.col("head_version") + 1, ("patched",)).drop("body", "patched")
+
+
+@F.pandas_udf(StringType())
+def _patched(body: pd.Series, steps: pd.Series) -> pd.Series:
+    from medlode.operators.bundle import patch as one
+
+    def applied(document, own):
+        try:
+            return json.dumps(one(json.loads(document), json.loads(own)))
+        except (Unprocessable, KeyError, TypeError, ValueError):
+            return None
+
+    return pd.Series([applied(d, s) if d and s else None for d, s in zip(body, steps, strict=True)], dtype=object)
+
+
+def commit(path: str, history_rows: DataFrame, audit_rows: DataFrame) -> str:
+    """Appends history rows and their audit rows, both or neither, and returns the commit's id.
+
+    Each commit writes folders of its own; a last write of one row makes them visible, so a writer that dies
+    before it leaves nothing that `committed` reads. Current resources are derived from the history.
+    """
+    key = f"{uuid.uuid4().hex}"
+    history_rows.write.partitionBy("tenant_id", "resource_type").parquet(f"{path}/history/commit={key}")
+    audit_rows.write.parquet(f"{path}/audit/commit={key}")
+    spark = history_rows.sparkSession
+    spark.createDataFrame([(key,)], "commit string").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return key
+
+
+def committed(spark, path: str, table: str) -> DataFrame:
+    """The rows of `history` or `audit` of all commits that were completed."""
+    done = spark.read.schema("commit string").parquet(f"{path}/commits").distinct()
+    return spark.read.parquet(f"{path}/{table}").join(F.broadcast(done), "commit", "left_semi").drop("commit")
 
 
 def lock_key(tenant: Column, kind: Column, filters: Column) -> Column:

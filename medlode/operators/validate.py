@@ -16,7 +16,7 @@ def _bad(wrong: Column, issue: str) -> Column:
 
 
 def whole(value: Column, low: int, high: int) -> Column:
-    number = value.try_cast("decimal(38,6)")
+    number = value.try_cast("decimal(38,18)")
     return value.isNotNull() & (number.isNull() | (number != F.floor(number)) | ~number.between(low, high))
 
 

@@ -135,12 +135,12 @@ def near_columns(latitude: Column, longitude: Column, q: values.Near) -> Column:
             box &= longitude.between(a, z)
     dlat, dlon = F.radians(latitude - q.latitude), F.radians(longitude - q.longitude)
     h = F.pow(F.sin(dlat / 2), 2) + math.cos(math.radians(q.latitude)) * F.cos(F.radians(latitude)) * F.pow(F.sin(dlon / 2), 2)
-    return true(box & (2 * EARTH * F.asin(F.least(F.sqrt(h), F.lit(1.0))) <= q.metres))
+    return box & (2 * EARTH * F.asin(F.least(F.sqrt(h), F.lit(1.0))) <= q.metres)
 
 
 def _near(v: Column, p: Path, value: str) -> Column:
     at = lambda k: text(v, *p.segments, k).try_cast("double")
-    return near_columns(at("latitude"), at("longitude"), values.near(value))
+    return true(near_columns(at("latitude"), at("longitude"), values.near(value)))
 
 
 def predicate(v: Column, param: Param, value: str) -> Column:

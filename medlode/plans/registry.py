@@ -1,7 +1,7 @@
 """Search parameters: which code of which type reads which path in which way.
 
-A registry is a parameter of searches. The one here has the parameters of the projected types; others come
-from standard definitions (code, base, type, expression) by from_definitions.
+A registry is a parameter of searches. The one here has the parameters of the projected types; those of all
+types come from the published definitions, by `load` from a file of them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,30 @@ from functools import cache
 KINDS = ("string", "token", "reference", "date", "uri", "number", "quantity", "special")
 
 
+# The type names of the public specification, in its order.
+TYPES = """
+Account ActivityDefinition ActorDefinition AdministrableProductDefinition AdverseEvent AllergyIntolerance
+Appointment AppointmentResponse ArtifactAssessment AuditEvent Basic Binary BiologicallyDerivedProduct
+BodyStructure Bundle CapabilityStatement CarePlan CareTeam Claim ClaimResponse ClinicalUseDefinition
+CodeSystem Communication CommunicationRequest CompartmentDefinition Composition ConceptMap Condition
+Consent Contract Coverage CoverageEligibilityRequest CoverageEligibilityResponse DetectedIssue Device
+DeviceAlert DeviceAssociation DeviceDefinition DeviceMetric DeviceRequest DiagnosticReport
+DocumentReference Encounter Endpoint EnrollmentRequest EnrollmentResponse EpisodeOfCare EventDefinition
+Evidence EvidenceVariable ExampleScenario ExplanationOfBenefit FamilyMemberHistory Flag Goal Group
+GuidanceResponse HealthcareService ImagingSelection ImagingStudy Immunization ImplementationGuide
+Ingredient InsurancePlan InsuranceProduct Invoice Library List Location ManufacturedItemDefinition Measure
+MeasureReport Medication MedicationAdministration MedicationDispense MedicationRequest MedicationStatement
+MedicinalProductDefinition MessageDefinition MessageHeader NamingSystem NutritionIntake NutritionOrder
+NutritionProduct Observation ObservationDefinition OperationDefinition OperationOutcome Organization
+OrganizationAffiliation PackagedProductDefinition Parameters Patient PaymentNotice PaymentReconciliation
+Person PlanDefinition Practitioner PractitionerRole Procedure Provenance Questionnaire
+QuestionnaireResponse RegulatedAuthorization RelatedPerson RequestOrchestration Requirements ResearchStudy
+ResearchSubject RiskAssessment Schedule SearchParameter ServiceRequest Slot Specimen SpecimenDefinition
+StructureDefinition StructureMap Subscription SubscriptionStatus SubscriptionTopic Substance
+SubstanceDefinition Task TerminologyCapabilities ValueSet VisionPrescription
+""".split()
+
+
 @dataclass(frozen=True)
 class Path:
     """shape: field, where, alternatives, exists or position."""
@@ -69,6 +93,14 @@ def builtin() -> dict[str, dict[str, Param]]:
     return out
 
 
+def load(spark, path: str) -> dict[str, dict[str, Param]]:
+    """A registry from a file of published definitions: a JSON bundle of them, or one a line."""
+    entry = "code string, type string, base array<string>, expression string"
+    rows = spark.read.schema(f"{entry}, entry array<struct<resource: struct<{', '.join(x.replace(' ', ': ', 1) for x in entry.split(', '))}>>>").json(path, multiLine=True)
+    rows = rows.selectExpr("inline(concat(coalesce(transform(entry, e -> e.resource), array()), array(struct(code, type, base, expression))))")
+    return from_definitions([r.asDict() for r in rows.where("code is not null and base is not null").collect()])
+
+
 def from_definitions(definitions: list[dict]) -> dict[str, dict[str, Param]]:
     """A registry from standard definitions; expressions beyond the path shapes, and composites, are left out."""
     out: dict[str, dict[str, Param]] = {}

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlode.functions.variant import text
+from medlode.functions.values import near
+from medlode.functions.variant import items, text
 from medlode.operators import audit, bundle, capability, search, store, validate
 from medlode.operators.access import Access
-from medlode.plans.compile import condition
+from medlode.plans.compile import condition, near_columns
 from medlode.plans.params import encode_cursor, parse
+from medlode.plans.registry import TYPES, Param, Path, builtin, parse_path
 from medlode.sources import fixtures as fx
+from medlode.sources.tables import shared_dir, stored
 
 MAIN = Access("main")
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +27,16 @@ def _pad(letter: str, key: str) -> str:
     return f"'{letter}' || lpad(CAST({key} AS VARCHAR), 9, '0')"
 
 
+def _kept(source, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected resources as the table that a user would query: written once, a folder a tenant and type."""
+    return stored(source(spark, sf_dir), f"{source.__name__}:{sf_dir}")
+
+
 def _find(name: str, source, kind: str, query: str, sql: str, tenant: str | None = "main") -> None:
     """Registers a search that gives the ids of all matches."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = source(spark, sf_dir)
+        rows = _kept(source, spark, sf_dir)
         if tenant:
             return search.matching(rows, Access(tenant), kind, parse(kind, query)).select("id")
         return rows.where(condition(F.col("resource"), parse(kind, query).filters)).select("id")
@@ -127,36 +136,36 @@ def _query(sql: str | None):
 @_query(f"SELECT {_ORDER} AS id FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 129")
 def page_default(spark, sf_dir):
     s = parse("Encounter", "status=F")
-    return search.ordered(search.matching(fx.encounters(spark, sf_dir), MAIN, "Encounter", s), s).select("id")
+    return search.ordered(search.matching(_kept(fx.encounters, spark, sf_dir), MAIN, "Encounter", s), s).select("id")
 
 
 @_query(f"SELECT {_ORDER} AS id FROM orders WHERE {_ORDER} > 'o000000100' ORDER BY o_orderkey LIMIT 11")
 def page_after_id(spark, sf_dir):
     s = parse("Encounter", "_count=10&_after_id=o000000100")
-    return search.ordered(search.matching(fx.encounters(spark, sf_dir), MAIN, "Encounter", s), s).select("id")
+    return search.ordered(search.matching(_kept(fx.encounters, spark, sf_dir), MAIN, "Encounter", s), s).select("id")
 
 
 @_query("SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'P'")
 def total_only(spark, sf_dir):
     s = parse("Encounter", "status=P&_count=0")
-    return search.matching(fx.encounters(spark, sf_dir), MAIN, "Encounter", s).agg(F.count(F.lit(1)).alias("total"))
+    return search.matching(_kept(fx.encounters, spark, sf_dir), MAIN, "Encounter", s).agg(F.count(F.lit(1)).alias("total"))
 
 
 @_query(f"SELECT {_ORDER} AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 21")
 def sort_lastupdated_desc(spark, sf_dir):
     s = parse("Encounter", "_sort=-_lastUpdated&_count=20")
-    return search.ordered(search.matching(fx.encounters(spark, sf_dir), MAIN, "Encounter", s), s).select("id")
+    return search.ordered(search.matching(_kept(fx.encounters, spark, sf_dir), MAIN, "Encounter", s), s).select("id")
 
 
 @_query(f"SELECT {_ORDER} AS id FROM orders ORDER BY o_orderdate, o_orderkey DESC LIMIT 31")
 def sort_multi_key(spark, sf_dir):
     s = parse("Encounter", "_sort=_lastUpdated,-_id&_count=30")
-    return search.ordered(search.matching(fx.encounters(spark, sf_dir), MAIN, "Encounter", s), s).select("id")
+    return search.ordered(search.matching(_kept(fx.encounters, spark, sf_dir), MAIN, "Encounter", s), s).select("id")
 
 
 @_query(f"SELECT {_ORDER} AS id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 11 OFFSET 10")
 def keyset_page2(spark, sf_dir):
-    rows = fx.encounters(spark, sf_dir)
+    rows = _kept(fx.encounters, spark, sf_dir)
     s = parse("Encounter", "_sort=-_lastUpdated&_count=10")
     last = search.ordered(rows, s).select("id", "last_updated").collect()[s.count - 1]
     s.after = encode_cursor(s, last.asDict())
@@ -178,18 +187,17 @@ _LID = _pad("o", "l_orderkey")
 
 @_query(_LINES + f"SELECT {_LID} AS id, version_id FROM h WHERE l_orderkey = 7 ORDER BY version_id DESC LIMIT 3")
 def history_page(spark, sf_dir):
-    own = fx.history(spark, sf_dir).where((F.col("tenant_id") == "main") & (F.col("id") == "o000000007"))
-    return own.orderBy(F.col("version_id").desc()).limit(3).select("id", "version_id")
+    return store.version_rows(_kept(fx.history, spark, sf_dir), "main", "Encounter", "o000000007", "_count=2").select("id", "version_id")
 
 
 @_query(_LINES + f"SELECT {_LID} AS id, version_id, l_returnflag AS status FROM h JOIN heads USING (l_orderkey) WHERE version_id = head AND NOT gone")
 def current_state(spark, sf_dir):
-    return store.current(fx.history(spark, sf_dir)).select("id", "version_id", text(F.col("resource"), "status").alias("status"))
+    return store.current(_kept(fx.history, spark, sf_dir)).select("id", "version_id", text(F.col("resource"), "status").alias("status"))
 
 
 @_query(_LINES + f"SELECT {_LID} AS id, head AS version_id FROM heads WHERE gone")
 def tombstones(spark, sf_dir):
-    h = store.heads(fx.history(spark, sf_dir)).where("head_deleted")
+    h = store.heads(_kept(fx.history, spark, sf_dir)).where("head_deleted")
     return h.select("id", F.col("head_version").alias("version_id"))
 
 
@@ -201,7 +209,7 @@ def _ops(spark, sf_dir):
 
 
 def _mutate(name: str, f, outcome: str, version: str) -> None:
-    _Q[name] = lambda spark, sf_dir: f(fx.history(spark, sf_dir), _ops(spark, sf_dir)).select("id", "outcome", F.coalesce("new_version", F.lit(0)).cast("long").alias("new_version"))
+    _Q[name] = lambda spark, sf_dir: f(_kept(fx.history, spark, sf_dir), _ops(spark, sf_dir)).select("id", "outcome", F.coalesce("new_version", F.lit(0)).cast("long").alias("new_version"))
     _SQL[name] = _LINES + f"SELECT {_ORDER} AS id, {outcome} AS outcome, CAST(coalesce({version}, 0) AS BIGINT) AS new_version FROM orders LEFT JOIN heads ON l_orderkey = o_orderkey"
 
 
@@ -215,14 +223,14 @@ _mutate("cas_delete_outcomes", store.compare_and_delete, "CASE WHEN head IS NULL
 
 @_query(_LINES + f"SELECT {_LID} AS id, head + 1 AS version_id, true AS deleted, l_returnflag AS status FROM heads JOIN h USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey WHERE version_id = head AND NOT gone")
 def appended_tombstones(spark, sf_dir):
-    h = fx.history(spark, sf_dir)
+    h = _kept(fx.history, spark, sf_dir)
     rows = store.appended(h, store.delete(h, _ops(spark, sf_dir)), F.current_timestamp())
     return rows.select("id", "version_id", "deleted", text(F.col("resource"), "status").alias("status"))
 
 
 @_query("SELECT name, least(n, 2) AS matches FROM (SELECT 'none' AS name, 0 AS n UNION ALL SELECT 'one', count(*) FROM customer WHERE c_custkey = 42 UNION ALL SELECT 'many', count(*) FROM customer WHERE c_custkey IN (7, 8))")
 def conditional_create_matches(spark, sf_dir):
-    rows = fx.patients(spark, sf_dir).withColumn("tenant_id", F.lit("main"))
+    rows = _kept(fx.patients, spark, sf_dir).withColumn("tenant_id", F.lit("main"))
     found = [(n, len(search.matches_of(rows, MAIN, "Patient", q))) for n, q in (("none", "identifier=no"), ("one", "identifier=42"), ("many", "identifier=7,8"))]
     return spark.createDataFrame(found, "name string, matches bigint")
 
@@ -248,7 +256,17 @@ def audit_parent_children(spark, sf_dir):
     return audit.family(fx.audit_events(spark, sf_dir))
 
 
-@_query(None)
+_AUDITED = """
+SELECT {id} AS id, '{{"resourceType":"AuditEvent","id":"' || {id} || '","action":"' ||
+  CASE event_type WHEN 'signup' THEN 'C' WHEN 'view' THEN 'R' WHEN 'purchase' THEN 'U' WHEN 'click' THEN 'E' ELSE 'D' END ||
+  '","recorded":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","outcome":{{"code":{{"code":"' ||
+  CASE WHEN event_type = 'error' THEN 'serious-failure' WHEN event_id % 10 = 0 THEN 'minor-failure' ELSE 'success' END ||
+  '"}}}},"agent":[{{"who":{{"identifier":{{"value":"user' || user_id || '"}}}}}}],"entity":[{{"what":{{"reference":"Patient/' || {user} || '"}}}}]}}' AS resource
+FROM events
+"""
+
+
+@_query(_AUDITED.format(id=_EVENT, user=_pad("c", "user_id")))
 def audit_resources(spark, sf_dir):
     return audit.resource(fx.audit_events(spark, sf_dir))
 
@@ -287,21 +305,201 @@ def validate_date(spark, sf_dir):
     return _checked(spark, sf_dir, {"day": day}, lambda v: [validate.primitive(v, "date", "day")])
 
 
-@_query(None)
+def _capability_sql() -> str:
+    """Counts by type and kind: three paging parameters a generic type, and the registry's."""
+    typed = ", ".join(f"('{t}', '{p.kind}')" for t, ps in builtin().items() for p in ps.values())
+    names = ", ".join(f"('{t}')" for t in TYPES if t != "AuditEvent")
+    audited = ", ".join(f"('AuditEvent', '{kind}', {n})" for kind, n in (("token", 4), ("reference", 2), ("date", 1), ("number", 1), ("string", 1)))
+    return f"""
+    SELECT resource_type, kind, CAST(count(*) AS BIGINT) AS params FROM (
+      SELECT * FROM (VALUES {typed}) p(resource_type, kind)
+      UNION ALL SELECT resource_type, kind FROM (VALUES {names}) t(resource_type), (VALUES ('number'), ('string'), ('string')) k(kind)
+    ) GROUP BY resource_type, kind
+    UNION ALL SELECT * FROM (VALUES {audited}) a(resource_type, kind, params)
+    """
+
+
+@_query(_capability_sql())
 def capability_counts(spark, sf_dir):
     return capability.capabilities(spark).groupBy("resource_type", "kind").agg(F.count(F.lit(1)).alias("params"))
 
 
-@_query(None)
-def bundle_transaction(spark, sf_dir):
-    ids = iter(["n1", "n2"])
+@_query(f"SELECT resource_type, CASE WHEN resource_type = 'AuditEvent' THEN 2 ELSE 7 END AS n, resource_type IN ({', '.join(repr(t) for t in builtin())}) AS conditional_create FROM (VALUES {', '.join(f'({t!r})' for t in TYPES)}) t(resource_type)")
+def capability_interactions(spark, sf_dir):
+    return capability.interactions(spark).select("resource_type", F.size("interactions").alias("n"), "conditional_create")
+
+
+# bundles: a few entries over the history of all orders
+def _put(kind: str, key: str, body: dict, version: int | None = None) -> dict:
+    match = {"ifMatch": f'W/"{version}"'} if version else {}
+    return {"request": {"method": "PUT", "url": f"{kind}/{key}", **match}, "resource": {"resourceType": kind, **body}}
+
+
+def _transaction(spark, sf_dir):
+    ids = iter(["n1", "n2", "audit"])
     entries = [
         {"fullUrl": "urn:uuid:a", "request": {"method": "POST", "url": "Patient"}, "resource": {"resourceType": "Patient"}},
         {"request": {"method": "POST", "url": "Encounter"}, "resource": {"resourceType": "Encounter", "subject": {"reference": "urn:uuid:a"}}},
         {"request": {"method": "DELETE", "url": "Encounter/o000000007"}},
     ]
-    _, rows = bundle.process(fx.history(spark, sf_dir), MAIN, "transaction", entries, lambda: next(ids))
-    return rows.select("resource_type", "id", "version_id", "deleted", F.to_json("resource").alias("resource"))
+    return bundle.process(_kept(fx.history, spark, sf_dir), MAIN, "transaction", entries, lambda: next(ids))
+
+
+@_query(_LINES + f"SELECT 'Patient' AS resource_type, 'n1' AS id, 1 AS version_id, false AS deleted, NULL AS subject UNION ALL SELECT 'Encounter', 'n2', 1, false, 'Patient/n1' UNION ALL SELECT 'Encounter', {_LID}, head + 1, true, NULL FROM heads WHERE l_orderkey = 7")
+def bundle_transaction(spark, sf_dir):
+    _, rows, _ = _transaction(spark, sf_dir)
+    return rows.select("resource_type", "id", "version_id", "deleted", text(F.col("resource"), "subject", "reference").alias("subject"))
+
+
+@_query("SELECT * FROM (VALUES ('audit', NULL, 'E', 'transaction', 'success'), ('audit.0', 'audit', 'C', 'create', 'success'), ('audit.1', 'audit', 'C', 'create', 'success'), ('audit.2', 'audit', 'D', 'delete', 'success')) a(id, parent_audit_id, action, interaction, outcome)")
+def bundle_audit(spark, sf_dir):
+    _, _, rows = _transaction(spark, sf_dir)
+    return rows.select("id", "parent_audit_id", "action", "interaction", "outcome")
+
+
+@_query(_LINES + "SELECT * FROM (VALUES (0, '200 OK'), (1, '404 Not Found'), (2, '404 Not Found'), (3, '412 Precondition Failed'), (4, '201 Created'), (5, '410 Gone'), (6, '201 Created'), (7, '400 Bad Request')) r(entry, status)")
+def bundle_batch(spark, sf_dir):
+    """A live version read, unknown ones read and deleted, a stale version, a new key, deleted ones read and put again, no type."""
+    entries = [
+        {"request": {"method": "GET", "url": "Encounter/o000000007"}},
+        {"request": {"method": "GET", "url": "Encounter/none"}},
+        {"request": {"method": "DELETE", "url": "Encounter/none"}},
+        _put("Encounter", "o000000007", {}, 999),
+        _put("Encounter", "new", {"status": "planned"}),
+        {"request": {"method": "GET", "url": "Encounter/o000000005"}},
+        _put("Encounter", "o000000005", {}),
+        {"request": {"method": "GET", "url": "Nothing/1"}},
+    ]
+    out, _, _ = bundle.process(_kept(fx.history, spark, sf_dir), MAIN, "batch", entries)
+    return spark.createDataFrame([(k, r["response"]["status"]) for k, r in enumerate(out)], "entry int, status string")
+
+
+# conditional creates, patches and commits
+def _creates(spark, sf_dir):
+    """Two operations a part: each looks for patients whose number ends like the part's."""
+    parts = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).crossJoin(spark.range(2).select(F.col("id").alias("again")))
+    ops = parts.select((F.col("k") * 2 + F.col("again")).alias("op_id"), F.lit("ASIA").alias("tenant_id"), F.lit("Patient").alias("resource_type"), F.concat(F.lit("x"), F.col("k") * 2 + F.col("again")).alias("id"), "k")
+    ops = ops.withColumn("lock", store.lock_key(F.col("tenant_id"), F.col("resource_type"), F.array(F.struct(F.lit("identifier").alias("code"), F.array(F.col("k").cast("string")).alias("values")))))
+    body = F.parse_json(F.to_json(F.struct(F.lit("Patient").alias("resourceType"), F.col("id").alias("id"))))
+    found = _kept(fx.patients, spark, sf_dir).select(F.col("id").alias("found"), F.explode(items(F.col("resource"), "identifier")).alias("x"))
+    found = found.select("found", F.pmod(text(F.col("x"), "value").cast("long"), F.lit(1200)).alias("number"))
+    matches = ops.join(found, F.col("k") == F.col("number")).select("op_id", F.col("found").alias("id"))
+    return matches, ops.withColumn("resource", body).drop("k")
+
+
+@_query(f"""
+WITH found AS (SELECT p_partkey AS k, count(c_custkey) AS n, min({_CUST}) AS one FROM part LEFT JOIN customer ON c_custkey % 1200 = p_partkey GROUP BY p_partkey)
+SELECT k * 2 + again AS op_id, CASE WHEN n > 1 THEN 'multiple' WHEN n = 1 OR again = 1 THEN 'existing' ELSE 'created' END AS outcome,
+       CASE WHEN n = 1 THEN one WHEN n = 0 AND again = 1 THEN 'x' || (k * 2) END AS found, CAST(CASE WHEN n = 0 AND again = 0 THEN 1 END AS BIGINT) AS new_version
+FROM found, (VALUES (0), (1)) v(again)
+""")
+def conditional_create_outcomes(spark, sf_dir):
+    matches, ops = _creates(spark, sf_dir)
+    return store.conditional_create(_kept(fx.history, spark, sf_dir), matches, ops).select("op_id", "outcome", "found", "new_version")
+
+
+@_query(_LINES + f"""
+SELECT {_ORDER} AS id, CASE WHEN head IS NULL OR gone THEN 'not-found' WHEN o_orderkey % 3 = 0 THEN 'invalid' ELSE 'patched' END AS outcome,
+       CAST(CASE WHEN NOT gone AND o_orderkey % 3 <> 0 THEN head + 1 END AS BIGINT) AS new_version, CASE WHEN NOT gone AND o_orderkey % 3 <> 0 THEN 'done' END AS status
+FROM orders LEFT JOIN heads ON l_orderkey = o_orderkey
+""")
+def patch_rows(spark, sf_dir):
+    """A patch of each order's status; for each third one a test fails."""
+    steps = F.when(F.col("o_orderkey") % 3 == 0, '[{"op":"test","path":"/id","value":"?"}]').otherwise('[{"op":"replace","path":"/status","value":"done"}]')
+    ops = fx.table(spark, sf_dir, "orders").select(F.lit("main").alias("tenant_id"), F.lit("Encounter").alias("resource_type"), fx.name_of("o", "o_orderkey").alias("id"), F.lit(None).cast("long").alias("version_id"), steps.alias("steps"))
+    return store.patch(_kept(fx.history, spark, sf_dir), ops).select("id", "outcome", "new_version", text(F.col("resource"), "status").alias("status"))
+
+
+@_query(_LINES + "SELECT 'history' AS kind, count(*) AS n FROM heads JOIN orders ON l_orderkey = o_orderkey WHERE NOT gone UNION ALL SELECT 'audit ' || CASE WHEN head IS NULL OR gone THEN 'minor-failure' ELSE 'success' END, count(*) FROM orders LEFT JOIN heads ON l_orderkey = o_orderkey GROUP BY ALL")
+def committed_deletes(spark, sf_dir):
+    """Deletes of all orders, committed with their audit rows and read back."""
+    history = _kept(fx.history, spark, sf_dir)
+    outcomes = store.delete(history, _ops(spark, sf_dir))
+    at = F.lit("2024-05-01T00:00:00Z").cast("timestamp")
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    store.commit(path, store.appended(history, outcomes, at), audit.of_outcomes(outcomes, "DELETE", MAIN, at))
+    rows = store.committed(spark, path, "history").select(F.lit("history").alias("kind"))
+    rows = rows.unionByName(store.committed(spark, path, "audit").select(F.concat(F.lit("audit "), "outcome").alias("kind")))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# point reads, searchsets and requests
+@_query(f"SELECT {_EVENT} AS id, 'U' AS action FROM events WHERE event_id = 7 AND event_type = 'purchase' UNION ALL SELECT {_EVENT}, CASE event_type WHEN 'signup' THEN 'C' WHEN 'view' THEN 'R' WHEN 'click' THEN 'E' ELSE 'D' END FROM events WHERE event_id = 7 AND event_type <> 'purchase'")
+def audit_point_read(spark, sf_dir):
+    return audit.find(fx.audit_events(spark, sf_dir), MAIN, "_id=e000000007").select("id", "action")
+
+
+@_query(_LINES + f"SELECT {_LID} AS id, head AS version_id, l_returnflag AS status FROM heads JOIN h USING (l_orderkey) WHERE l_orderkey = 7 AND version_id = head")
+def point_read(spark, sf_dir):
+    row = store.read(_kept(fx.history, spark, sf_dir), "main", "Encounter", "o000000007")
+    return spark.createDataFrame([(row.id, row.version_id, row.resource)], "id string, version_id bigint, body string").select("id", "version_id", F.get_json_object("body", "$.status").alias("status"))
+
+
+@_query(f"SELECT 'total' AS part, CAST(count(*) AS VARCHAR) AS value FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'self', 'https://x/Encounter?status=P&_count=2&status=P%2CP' UNION ALL (SELECT 'entry', 'https://x/Encounter/' || {_ORDER} FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 2) UNION ALL SELECT 'next', 'https://x/Encounter?status=P&_count=2&status=P%2CP&_after_id=' || max(id) FROM (SELECT {_ORDER} AS id FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 2)")
+def searchset(spark, sf_dir):
+    """A page's total, links and entries; parameters keep their order and repeats."""
+    query = "status=P&_count=2&status=P,P"
+    page = search.find(_kept(fx.encounters, spark, sf_dir), MAIN, "Encounter", query)
+    found = search.bundle(page, "https://x", "Encounter", query)
+    rows = [("total", str(found["total"]))] + [(x["relation"], x["url"]) for x in found["link"]] + [("entry", x["fullUrl"]) for x in found["entry"]]
+    return spark.createDataFrame(rows, "part string, value string")
+
+
+@_query(f"SELECT {_EVENT} AS id, CASE event_id % 5 WHEN 0 THEN 'search' WHEN 1 THEN 'read' WHEN 2 THEN 'history' WHEN 3 THEN 'delete' ELSE 'batch' END AS interaction, CASE event_id % 5 WHEN 0 THEN 'E' WHEN 1 THEN 'R' WHEN 2 THEN 'R' WHEN 3 THEN 'D' ELSE 'E' END AS action FROM events")
+def classified_requests(spark, sf_dir):
+    k = F.col("event_id") % 5
+    method = F.when(k == 3, "DELETE").when(k == 4, "POST").otherwise("GET")
+    path = F.when(k == 0, "/fhir/Patient").when(k == 2, "/fhir/Patient/1/_history").when(k == 4, "/fhir").otherwise("/fhir/Patient/1")
+    rows = fx.table(spark, sf_dir, "events").select(fx.name_of("e", "event_id").alias("id"), method.alias("method"), path.alias("path"))
+    return audit.classify(rows).select("id", "interaction", "action")
+
+
+# shapes that no entry of the registry has
+def _shape(name: str, param: Param, value: str, fields, sql: str) -> None:
+    def run(spark, sf_dir):
+        rows = fx._resources(fx.table(spark, sf_dir, "orders"), "Basic", fx.name_of("o", "o_orderkey"), fields())
+        return stored(rows, f"{name}:{sf_dir}").where(condition(F.col("resource"), [(param, [value])])).select("id")
+
+    _Q[name], _SQL[name] = run, sql
+
+
+def _stages() -> dict:
+    day = lambda n: F.date_format(F.date_add(F.col("o_orderdate").cast("date"), n), "yyyy-MM-dd")
+    return {"stage": F.array(*[F.struct(F.lit(kind).alias("kind"), day(n).alias("when"), F.concat(F.lit(f"{kind} "), F.col("o_orderpriority")).alias("note")) for kind, n in (("start", 0), ("end", 8))])}
+
+
+_shape("string_where", Param("note", "string", parse_path("where:stage[kind=end].note")), "END 1", _stages, f"SELECT {_ORDER} AS id FROM orders WHERE lower('end ' || o_orderpriority) LIKE '%end 1%'")
+_shape("date_where", Param("ended", "date", parse_path("where:stage[kind=end].when")), "ge1998-03", _stages, f"SELECT {_ORDER} AS id FROM orders WHERE CAST(o_orderdate AS DATE) + 8 >= DATE '1998-03-01'")
+_shape(
+    "reference_deep_array",
+    Param("team", "reference", Path("field", ("care", "team"))),
+    "Practitioner/p3",
+    lambda: {"care": F.struct(F.array(*[F.struct(F.concat(F.lit("Practitioner/p"), (F.col("o_orderkey") % n).cast("string")).alias("reference")) for n in (50, 7)]).alias("team"))},
+    f"SELECT {_ORDER} AS id FROM orders WHERE o_orderkey % 50 = 3 OR o_orderkey % 7 = 3",
+)
+
+
+@_query(f"SELECT {_SUPP} AS id FROM supplier WHERE s_suppkey % 10 <> 0 AND {_km(10, 20)} <= 3000")
+def near_indexed(spark, sf_dir):
+    """Typed coordinates: the box reaches the scan."""
+    key = F.col("s_suppkey")
+    places = fx.table(spark, sf_dir, "supplier").where(key % 10 != 0).select(F.lit("main").alias("tenant_id"), F.lit("Location").alias("resource_type"), fx.name_of("s", "s_suppkey").alias("id"), (key * 37 % 180 - 90).cast("double").alias("latitude"), (key * 73 % 360 - 180).cast("double").alias("longitude"))
+    return stored(places, f"places:{sf_dir}").where(near_columns(F.col("latitude"), F.col("longitude"), near("10|20|3000|km"))).select("id")
+
+
+@_query(f"""
+SELECT {_ORDER} AS id, 'big: not a valid integer64' AS issue FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT {_ORDER}, 'link: not a valid url' FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL SELECT {_ORDER}, 'photo: data needs contentType' FROM orders WHERE o_orderkey % 5 = 0
+""")
+def validate_texts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    fields = {
+        "big": F.when(k % 3 == 0, "9223372036854775808").otherwise("9223372036854775807"),
+        "link": F.when(k % 4 == 0, "no scheme").otherwise("https://a/b"),
+        "photo": F.struct(F.lit("aGk=").alias("data"), F.when(k % 5 != 0, "text/plain").alias("contentType")),
+    }
+    return _checked(spark, sf_dir, fields, lambda v: [validate.primitive(v, "integer64", "big"), validate.primitive(v, "url", "link"), validate.implies(v, ("photo",), "data", "contentType")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,13 @@ def ingest_json(spark: SparkSession, path: str, tenant: str) -> DataFrame:
     return own.where(F.col("resource_type").isNotNull() & F.col("id").isNotNull())
 
 
+def refused_lines(spark: SparkSession, path: str) -> DataFrame:
+    """How many lines ingest_json leaves out, by reason."""
+    line, v = F.col("value"), F.try_parse_json("value")
+    why = F.when(F.octet_length(line) > LARGEST, "too large").when(v.isNull(), "not JSON").when(text(v, "resourceType").isNull(), "no type").when(text(v, "id").isNull(), "no id")
+    return spark.read.text(path).select(why.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def write_resources(resources: DataFrame, path: str, mode: str = "append") -> None:
     """One folder a tenant and type, so that both prune; each type's rows go to few files."""
     resources.repartition("tenant_id", "resource_type", F.pmod(F.xxhash64("id"), F.lit(32))).sortWithinPartitions("id").write.mode(mode).partitionBy("tenant_id", "resource_type").parquet(path)
@@ -27,5 +36,25 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_medlode"
+
+
+_written: dict[tuple[str, str], str] = {}
+
+
+def stored(resources: DataFrame, name: str) -> DataFrame:
+    """The table of this name, written on its first use in a session: documents are parsed once, not per predicate."""
+    spark = resources.sparkSession
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _written:
+        path = f"{shared_dir(spark)}/resources-{uuid.uuid4().hex}"
+        write_resources(resources, path, "errorifexists")
+        _written[key] = path
+    return spark.read.schema(resources.schema).parquet(_written[key])
+
+
 def export_json(resources: DataFrame, path: str) -> None:
     resources.select(F.to_json("resource")).write.mode("overwrite").text(path)
