@@ -502,6 +502,12 @@ def validate_texts(spark, sf_dir):
     return _checked(spark, sf_dir, fields, lambda v: [validate.primitive(v, "integer64", "big"), validate.primitive(v, "url", "link"), validate.implies(v, ("photo",), "data", "contentType")])
 
 
+def load(spark: SparkSession, sf_dir: str) -> None:
+    """Writes the resource tables that searches and versions read; else the first query of each does."""
+    for source in (fx.patients, fx.encounters, fx.observations, fx.organizations, fx.conditions, fx.timings, fx.locations, fx.devices, fx.studies, fx.libraries, fx.references, fx.appointments, fx.history):
+        _kept(source, spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
