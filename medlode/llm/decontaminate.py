@@ -5,8 +5,10 @@ ten consecutive words share a fingerprint inside that span. Fingerprints of docu
 items; each meeting is extended in both directions, and windows of ten words that match are hits, once their
 words have been compared. Items of fewer than ten words are one window each and meet all n-grams of their length.
 
-The items' fingerprints are broadcast if they stay within ITEM_WORDS words; a larger benchmark is dealt into
-blocks of about that size by its items, each block passes over the documents, and the hits are merged.
+The items' fingerprints are broadcast if their texts stay within about ITEM_WORDS words. Those of a larger
+benchmark are joined by shuffle: documents' fingerprints that equal an item's are extended to all windows around
+them, and those windows meet the items' windows by SHA-256 of their words. There, items of fewer than ten words have
+fingerprints of their own length. Nothing of such a benchmark passes through the driver or one task.
 
 Null and empty texts have no words and no hits; repeated rows get equal results; items without words are left
 out; an empty benchmark finds nothing. Other columns are not read, whatever their names.
@@ -14,17 +16,25 @@ out; an empty benchmark finds nothing. Other columns are not read, whatever thei
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, gram_hashes, lower_words, prepared, same_spans, stash, text_bytes, word_hashes, word_spans
+from medlode.llm.common import batches, chunks, gram_hashes, lower_words, partitions, prepared, same_spans, stash, text_bytes, word_hashes, word_spans
 
 WINDOW = 10
 GRAM = 5
 #: Words of benchmark items that one broadcast holds (8 bytes each, and twice that for fingerprints).
 ITEM_WORDS = 4_000_000
+#: A word of a text, for counts in Spark; the same words as lower_words cuts.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Windows of one record batch.
+BATCH_WINDOWS = 1 << 16
+#: About how many bytes of a large benchmark a task gets.
+ITEM_BYTES = 16 << 20
 
 
 def fingerprints(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -166,30 +176,115 @@ def _merged(runs):
     return F.aggregate(F.array_sort(runs), start, step)["n"]
 
 
+def _gram(window: int) -> int:
+    """The n-grams that mark windows of so many words; GRAM for WINDOW."""
+    return (window + 1) // 2
+
+
+def _mark_rows(lengths: list[int] | None):
+    """Fingerprints as rows: of windows of all the given lengths, or of each text's own one."""
+
+    def rows(source):
+        for b, texts in batches(source):
+            own_rows = b.column(b.schema.get_field_index("row")).to_numpy()
+            for i, j in chunks(texts):
+                words, offsets = word_hashes([lower_words(t) for t in texts[i:j]])
+                sizes = np.diff(offsets)
+                for n in lengths or range(1, WINDOW + 1):
+                    at, marks = fingerprints(words, n, _gram(n))
+                    doc = np.searchsorted(offsets, at, "right") - 1
+                    inside = at + _gram(n) <= offsets[doc + 1]
+                    if not lengths:
+                        inside &= np.minimum(sizes[doc], WINDOW) == n
+                    doc, at, marks = doc[inside], at[inside], marks[inside]
+                    columns = own_rows[i:j][doc], np.full(len(at), n, np.int32), marks.view(np.int64), at - offsets[doc]
+                    for k in range(0, len(at), BATCH_WINDOWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + BATCH_WINDOWS]) for c in columns], names=["row", "n", "mark", "place"])
+
+    return rows
+
+
+def _window_rows(source):
+    """Windows as rows, by the SHA-256 of their words: those around the given fingerprints, or each text's own ones.
+
+    A fingerprint in column `spots` is its place times 16 plus the length of its windows.
+    """
+    for b, texts in batches(source):
+        own_rows = b.column(b.schema.get_field_index("row")).to_numpy()
+        spots = b.column(b.schema.get_field_index("spots")) if "spots" in b.schema.names else None
+        for t, text in enumerate(texts):
+            arr = np.frombuffer(lower_words(text), np.uint8)
+            # one space between words, so that equal windows are equal bytes
+            arr = arr[(arr != 32) | (np.concatenate([[np.uint8(32)], arr[:-1]]) != 32)]
+            arr, starts, ends, _ = word_spans([arr.tobytes()])
+            if spots is None:
+                n = min(WINDOW, len(starts))
+                todo = [(n, np.arange(len(starts) - n + 1) if n else np.zeros(0, np.int64))]
+            else:
+                own = spots[t].values.to_numpy()
+                todo = []
+                for n in np.unique(own % 16).tolist():
+                    firsts = np.unique((own[own % 16 == n] // 16)[:, None] - np.arange(n - _gram(n) + 1))
+                    todo.append((n, firsts[(firsts >= 0) & (firsts + n <= len(starts))]))
+            data = arr.tobytes()
+            for n, firsts in todo:
+                for k in range(0, len(firsts), BATCH_WINDOWS):
+                    part = firsts[k : k + BATCH_WINDOWS]
+                    digests = [hashlib.sha256(data[a:z]).digest() for a, z in zip(starts[part].tolist(), ends[part + n - 1].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), own_rows[t])), pa.array(np.full(len(part), n, np.int32)), pa.array(part.astype(np.int64)), pa.array(digests, pa.binary())],
+                        names=["row", "n", "first", "digest"],
+                    )
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """row, n_hit, n_items and items_sha256 of the documents with hits, from docs (row, text) and items (row, id, text)."""
+    marks, windows = "row bigint, n int, mark bigint, place bigint", "row bigint, n int, first bigint, digest binary"
+    texts = items.select("row", "text")
+    lengths = sorted(r.n for r in items.select(F.least("words", F.lit(WINDOW)).cast("int").alias("n")).distinct().collect())
+    known = texts.mapInArrow(_mark_rows(None), marks).select("n", "mark").distinct()
+    met = docs.mapInArrow(_mark_rows(lengths), marks).join(known, ["n", "mark"], "left_semi")
+    spots = stash(met.groupBy("row").agg(F.collect_list(F.col("place") * 16 + F.col("n")).alias("spots")), "spots")
+    around = docs.join(spots, "row").select("row", "text", "spots").mapInArrow(_window_rows, windows)
+    own = texts.mapInArrow(_window_rows, windows).join(items.select("row", "id"), "row").select("digest", "id").distinct()
+    own = stash(own, "item_windows")
+    hit = stash(around.join(own.select("digest").distinct(), "digest", "left_semi"), "hits")
+    run = F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
+    counts = hit.groupBy("row").agg(_merged(F.collect_list(run)).alias("n_hit"))
+    # an item's id may be null, which a set leaves out unless it is inside a struct
+    pairs = hit.select("row", "digest").distinct().join(own, "digest").select("row", F.struct("id").alias("item")).distinct()
+    names = F.transform(F.collect_list("item"), lambda x: x["id"])
+    held = pairs.groupBy("row").agg(F.array_sort(names).alias("names"))
+    held = held.select("row", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
+    return counts.join(held, "row")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", item_words: int = ITEM_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, then the columns `keep`."""
     spark = prepared(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), text_bytes(item_text).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // (6 * item_words)))
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), text_bytes(item_text).alias("text"), F.regexp_count(F.col(item_text).cast("string"), F.lit(WORD)).alias("words")).where("words > 0")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0))), F.lit(0))).first()[0]
     own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
-    if blocks > 1:
+    if size > 6 * item_words:
+        # rows get numbers that have to be the same in each of several scans
+        count = partitions(spark, size, ITEM_BYTES)
+        items = stash(items.repartition(count).withColumn("row", F.monotonically_increasing_id()), "items")
         own = stash(own.withColumn("row", F.monotonically_increasing_id()), "docs")
-    passes = []
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id").collect()
-        index = ItemIndex([r.id for r in rows], [bytes(r.text) for r in rows])
-        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema if f.name != 'text')}, n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<string>"
-        passes.append(own.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema))
-    found = passes[0]
-    if blocks > 1:
-        hit = [p.where(F.size("runs") > 0).select("row", "runs", "items") for p in passes[1:]]
-        more = hit[0]
-        for h in hit[1:]:
-            more = more.unionByName(h)
-        more = more.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("more_runs"), F.flatten(F.collect_list("items")).alias("more_items"))
-        none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-        found = found.join(more, "row", "left").withColumns({"runs": F.concat("runs", none("more_runs", "array<struct<a:bigint,b:bigint>>")), "items": F.concat("items", none("more_items", "array<string>"))})
+        n_words = F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long")
+        found = own.withColumn("n_words", n_words).drop("text").join(_joined(own.select("row", "text"), items), "row", "left")
+        return found.select(
+            F.col("id").alias(id_col),
+            F.col("n_words"),
+            F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+            F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+            F.col("n_hit").isNotNull().alias("contaminated"),
+            *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)],
+        )
+    rows = items.select("id", "text").orderBy("id").collect()
+    index = ItemIndex([r.id for r in rows], [bytes(r.text) for r in rows])
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema if f.name != 'text')}, n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<string>"
+    found = own.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
     names = F.array_sort(F.array_distinct("items"))
     return found.select(
         F.col("id").alias(id_col),
