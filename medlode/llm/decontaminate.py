@@ -8,7 +8,8 @@ words have been compared. Items of fewer than ten words are one window each and
 The items' fingerprints are broadcast if their texts stay within about ITEM_WORDS words. Those of a larger
 benchmark are joined by shuffle: documents' fingerprints that equal an item's are extended to all windows around
 them, and those windows meet the items' windows by SHA-256 of their words. There, items of fewer than ten words have
-fingerprints of their own length. Nothing of such a benchmark passes through the driver or one task.
+fingerprints of their own length. Windows that the same items hold share one list of them, and so do documents
+that hit the same lists: copies on both sides do not multiply. Such a benchmark never passes through the driver.
 
 Null and empty texts have no words and no hits; repeated rows get equal results; items without words are left
 out; an empty benchmark finds nothing. Other columns are not read, whatever their names.
@@ -248,15 +249,21 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     around = docs.join(spots, "row").select("row", "text", "spots").mapInArrow(_window_rows, windows)
     own = texts.mapInArrow(_window_rows, windows).join(items.select("row", "id"), "row").select("digest", "id").distinct()
     own = stash(own, "item_windows")
-    hit = stash(around.join(own.select("digest").distinct(), "digest", "left_semi"), "hits")
+    # windows of the same items have the same sums of the items' hashes: one set of items, listed once
+    name = F.sha2(F.coalesce(F.concat(F.lit("i"), "id"), F.lit("")), 256)
+    sums = [F.sum(F.conv(F.substring(name, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    sets = stash(own.groupBy("digest").agg(F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *sums), 256).alias("set")), "sets")
+    members = own.join(sets.groupBy("set").agg(F.min("digest").alias("digest")), "digest").select("set", "id")
+    # documents that meet the same sets have the same items
     run = F.struct(F.col("first").alias("a"), (F.col("first") + F.col("n")).alias("b"))
-    counts = hit.groupBy("row").agg(_merged(F.collect_list(run)).alias("n_hit"))
-    # an item's id may be null, which a set leaves out unless it is inside a struct
-    pairs = hit.select("row", "digest").distinct().join(own, "digest").select("row", F.struct("id").alias("item")).distinct()
-    names = F.transform(F.collect_list("item"), lambda x: x["id"])
-    held = pairs.groupBy("row").agg(F.array_sort(names).alias("names"))
-    held = held.select("row", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
-    return counts.join(held, "row")
+    hit = around.join(sets, "digest").groupBy("row").agg(_merged(F.collect_list(run)).alias("n_hit"), F.array_sort(F.collect_set("set")).alias("sets"))
+    hit = stash(hit.withColumn("kind", F.sha2(F.array_join("sets", ","), 256)), "hits")
+    kinds = hit.groupBy("kind").agg(F.first("sets").alias("sets")).select("kind", F.explode("sets").alias("set"))
+    # an item's id may be null, which a list leaves out unless it is inside a struct
+    names = kinds.join(members, "set").select("kind", F.struct("id").alias("item")).distinct().groupBy("kind").agg(F.collect_list("item").alias("items"))
+    names = names.select("kind", F.array_sort(F.transform("items", lambda x: x["id"])).alias("names"))
+    names = names.select("kind", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
+    return hit.select("row", "n_hit", "kind").join(names, "kind")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", item_words: int = ITEM_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
