@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch; with texts of a few KB a batch is a few MB.
 BATCH_ROWS = 512
@@ -79,6 +80,11 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
 
 
+def extended(schema: StructType, without: tuple[str, ...], more: str) -> StructType:
+    """The fields of a schema but those named, whatever their names, and then more, given as DDL."""
+    return StructType([f for f in schema if f.name not in without] + StructType.fromDDL(more).fields)
+
+
 def partitions(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions for so many rows, at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

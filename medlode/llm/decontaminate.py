@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, gram_hashes, lower_words, partitions, prepared, same_spans, stash, text_bytes, word_hashes, word_spans
+from medlode.llm.common import batches, chunks, extended, gram_hashes, lower_words, partitions, prepared, same_spans, stash, text_bytes, word_hashes, word_spans
 
 WINDOW = 10
 GRAM = 5
@@ -290,7 +290,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         )
     rows = items.select("id", "text").orderBy("id").collect()
     index = ItemIndex([r.id for r in rows], [bytes(r.text) for r in rows])
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema if f.name != 'text')}, n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<string>"
+    schema = extended(own.schema, ("text",), "n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<string>")
     found = own.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
     names = F.array_sort(F.array_distinct("items"))
     return found.select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, prepared, stash, text_bytes
+from medlode.llm.common import batches, chunks, extended, prepared, stash, text_bytes
 from medlode.llm.ngram_scores import hashed, joined, sums
 
 #: Labelled rows that training gathers at most (but one a language), and their largest size.
@@ -151,6 +151,6 @@ def languages(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple
     """One row per document: the columns `keep`, lang_pred, score, ambiguous."""
     spark = prepared(docs.sparkSession)
     own = docs.select(*[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)], text_bytes(text_col).alias("text"), has_letter(text_col).alias("letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name not in ("text", "letters"))
-    found = own.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{schema}{', ' * bool(schema)}lang_pred string, score double, ambiguous boolean")
+    schema = extended(own.schema, ("text", "letters"), "lang_pred string, score double, ambiguous boolean")
+    found = own.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
     return found.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "ambiguous")

@@ -14,7 +14,8 @@ or by a small group of equal texts, which stays together. Ranges that cross a bo
 All of this is done with slim rows (keys and sizes); texts are shuffled only where the caller wants them, once.
 
 Null and empty texts have size 1 and one key. Null ids are keys like others; equal rows get different slots.
-An empty table gives none. The law is `bytes`: sizes are near equal.
+An empty table gives none. The law is `bytes`: sizes are near equal. Where all columns are carried, those of the
+documents that are named like a result (in any case of letters) are called doc_ and their name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SHARDS = 16
 RANGES, MOST_RANGES = 1024, 1 << 17
 RANGE_BYTES = 128 << 20
 SAMPLED = 12
+RESULTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def keyed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -85,6 +87,18 @@ def ranged(keys: DataFrame, ranges: int) -> DataFrame:
     return met.withColumn("range", F.col("base") + F.size(F.filter("inside", lambda x: x <= own))).drop("group", "base", "inside")
 
 
+def _carried(columns: list[str]) -> list[tuple[str, str]]:
+    """The documents' columns and what they are called beside the results."""
+    used, out = {*RESULTS, *(c.lower() for c in columns)}, []
+    for c in columns:
+        name = c
+        while name.lower() in used and (name != c or c.lower() in RESULTS):
+            name = f"doc_{name}"
+        used.add(name.lower())
+        out.append((c, name))
+    return out
+
+
 def shards(docs: DataFrame, count: int = SHARDS, ranges: int | None = None, text_col: str = "text", id_col: str = "doc_id", carry: bool = False) -> DataFrame:
     """One row per record: id (or, with carry, all columns), size, text_crc32, law, shard, slot, grown_shard."""
     prepared(docs.sparkSession)
@@ -116,6 +130,6 @@ def shards(docs: DataFrame, count: int = SHARDS, ranges: int | None = None, text
     done = done.withColumn("slot", (F.col("ahead") + F.col("place") - F.col("from")).cast("long"))
     if carry:
         done = own.select(F.col("row").alias("o"), "doc").hint("merge").join(done.select("row", "size", "crc", "shard", "slot"), F.col("o") == F.col("row"))
-    fields = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns] if carry else [F.col("id").alias(id_col)]
-    more = ((F.col("size"), "size"), (F.col("crc").cast("long"), "text_crc32"), (F.lit("bytes"), "law"), (F.col("shard"), "shard"), (F.col("slot"), "slot"), (F.lit(None).cast("int"), "grown_shard"))
-    return done.select(*fields, *[c.alias(n) for c, n in more if n not in docs.columns or not carry])
+    fields = [F.col(f"doc.`{c}`").alias(n) for c, n in _carried(docs.columns)] if carry else [F.col("id").alias(id_col)]
+    more = F.col("size"), F.col("crc").cast("long"), F.lit("bytes"), F.col("shard"), F.col("slot"), F.lit(None).cast("int")
+    return done.select(*fields, *[c.alias(n) for c, n in zip(more, RESULTS, strict=True)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, prepared, span_hashes, text_bytes
+from medlode.llm.common import batches, chunks, extended, prepared, span_hashes, text_bytes
 from medlode.llm.ngram_scores import hashed, joined, sums, within_words
 
 SAMPLE = 2400
@@ -185,6 +185,6 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     """One row per document: the columns `keep` and score."""
     spark = prepared(docs.sparkSession)
     own = docs.select(*[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)], text_bytes(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text")
-    found = own.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{schema}{', ' * bool(schema)}score double")
+    schema = extended(own.schema, ("text",), "score double")
+    found = own.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
     return found.select(*[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "score")
