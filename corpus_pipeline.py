@@ -3,7 +3,10 @@
 Language ID drops documents without a language or between two; the n-gram join keeps one document of each
 class; decontamination drops documents that hold a window of ten words of a benchmark item; the mix repeats or
 leaves out documents until sources have their shares; sharding deals what is left into shards.
-Ids needn't differ between rows, as the mix repeats documents. Rows with null texts go with the first stage.
+Ids needn't differ between rows, as the mix repeats documents. Rows with null texts, or texts without letters, go
+with the first stage; other columns may be null. Repeated rows are copies, of which the join keeps one. An empty
+table stays empty. Documents may have any other columns, of any names: stages carry them packed as one. Those named
+like a result of sharding get doc_ before their name.
 """
 
 from __future__ import annotations
@@ -18,10 +21,15 @@ from medlode.llm.common import clear, delete, shared_dir
 from medlode.llm.queries import learns_language, table
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The id, the text, and all columns as `doc`, where no name clashes with a stage's own."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, learns_language())
-    found = language_id.languages(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    found = language_id.languages(packed(docs), model, keep=("doc",))
+    return found.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
-    found = decontaminate.contamination(packed, table(spark, sf_dir, "benchmark"), keep=("doc",))
+    found = decontaminate.contamination(packed(docs), table(spark, sf_dir, "benchmark"), keep=("doc",))
     return found.where(~F.col("contaminated")).select("doc.*")
 
 
