@@ -570,3 +570,75 @@ def test_pipeline(spark):
     texts = list({r.doc_id: _shingles(r.text) for r in rows}.values())
     assert not any(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(texts) for b in texts[:i] if a & b)
     assert {r.shard for r in rows} == set(range(16))
+
+
+def test_pipeline_stages(spark, odd, none, docs):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables, in each stage."""
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    names = ("lang_pred", "score", "ambiguous", "shard", "Slot", "bucket", "class_id", "n_hit", "taken", "copies", "a.b", "odd name")
+    clash = lambda df: df.withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    columns = clash(odd).columns
+    # documents of known languages, so that the first stage has something to learn
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(1).alias(c) for c in ("size", "rank", "row", "doc")])
+    rows = stash(clash(odd.unionByName(some)), "odd")
+    for name, stage in list(stages.items())[:4]:
+        got = stage(spark, rows, SF)
+        assert got.columns == columns, name
+        kept = got.collect()
+        assert kept and all(r[n] == k for r in kept for k, n in enumerate(names)), name
+        assert stage(spark, clash(none), SF).count() == 0, name
+        texts = collections.Counter((r.doc_id, r.text) for r in kept)
+        before = collections.Counter((r.doc_id, r.text) for r in rows.collect())
+        assert all(k in before for k in texts) and (name == "mixing" or all(texts[k] <= before[k] for k in texts)), name
+        if name == "language ID":
+            assert not any(r.text is None or not re.search(r"[^\W\d_]", r.text) for r in kept)
+        if name == "n-gram join":
+            held = [r.doc_id for r in kept if r.doc_id is not None and r.text and "w0x0" in r.text.lower()]
+            assert held == [0]
+    shard = stages["sharding"]
+    got = shard(spark, rows, SF)
+    sizes = collections.Counter()
+    for r in got.collect():
+        sizes[r.shard] += r["size"]
+        assert r["size"] == len((r.text or "").encode()) + 1 and r.doc_shard == 3 and r.doc_Slot == 4 and 0 <= r.shard < 16
+    assert got.count() == rows.count() and shard(spark, clash(none), SF).count() == 0
+    stash(got, "sharded")
+
+
+def _bucket(gram, bits):
+    h = 0
+    for c in gram:
+        h = (h * 0x01000193 + c + 1) % 2**32
+    return ((h ^ (h >> 15) ^ len(gram)) * 0x9E3779B1) % 2**32 >> (32 - bits)
+
+
+def test_language_scores_brute_force(spark, odd, docs):
+    """A plain walk over the n-grams of each text gives the scores of the trained model."""
+    model = language_id.train(docs, F.lit(True), sample=200)
+    for r in language_id.languages(odd.withColumn("t", F.col("text")), model, keep=("t",)).collect():
+        if r.lang_pred == "und" or len(r.t) > 5000:
+            continue
+        body = b" " + bytes(32 if 48 <= c <= 57 else c for c in lower_words(r.t.encode())) + b" " * 8
+        n, bits = len(r.t.encode()) + 1, np.array(model.b, float)
+        for at in range(n):
+            for k, size in enumerate(language_id.SIZES):
+                bits += model.w[:, k, _bucket(body[at : at + size], language_id.BITS)] / n
+        loss = [sum(t * np.log1p(np.exp(-f * c)) for t, f, c in zip(model.trust, bits, word, strict=True)) for word in model.code]
+        best = int(np.argmin(loss))
+        assert r.lang_pred == model.langs[best] and abs(r.score - 1 / sum(np.exp(loss[best] - x) for x in loss)) < 1e-3
+
+
+def test_toxicity_scores_brute_force(spark, odd):
+    """A plain walk over the words of each text gives the scores of the trained model."""
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.train(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"), F.lit(True))
+    assert model.z is not None
+    for r in toxicity.scores(odd.withColumn("t", F.col("text")), model, keep=("t",)).collect():
+        words = lower_words((r.t or "").encode()).split()
+        words = [w for k, w in enumerate(words) if not k or w != words[k - 1]]
+        worst = []
+        for a in range(0, max(len(words) - toxicity.WINDOW + toxicity.STRIDE, 1) if words else 0, toxicity.STRIDE):
+            bag = [_bucket(s[i : i + n], toxicity.BITS) for w in words[a : a + toxicity.WINDOW] for s in [b" " + w + b" "] for n in toxicity.SIZES for i in range(len(s) - n + 1)]
+            worst.append(float(model.z[bag].astype(float).sum()) / max(len(bag), 1) + model.bias)
+        want = 1 / (1 + np.exp(-(model.steep * max(worst, default=model.bias) + model.shift)))
+        assert abs(r.score - want) < 1e-3
