@@ -256,14 +256,15 @@ def gram_numbers(numbers: np.ndarray, n: int) -> np.ndarray:
     return own
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-grams of consecutive word hashes."""
+def gram_hashes(words: np.ndarray, n: int, firsts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the n-grams of consecutive word hashes: of all, or of those that begin at firsts."""
     if len(words) < n:
         return np.zeros(0, _U)
+    part = lambda k: words[k : len(words) - n + 1 + k] if firsts is None else words[firsts + k]
     with np.errstate(over="ignore"):
-        h = words[: len(words) - n + 1].copy()
+        h = part(0).copy()
         for k in range(1, n):
-            h = h * _U(0x100000001B3) + words[k : len(words) - n + 1 + k]
+            h = h * _U(0x100000001B3) + part(k)
         return mix(h)
 
 

@@ -2,8 +2,8 @@
 
 Of every six consecutive hashes of 5-grams of words the least is a fingerprint, so any two texts that share
 ten consecutive words share a fingerprint inside that span. Fingerprints of documents meet those of benchmark
-items; each meeting is extended in both directions, and windows of ten words that match are hits, once their
-words have been compared. Items of fewer than ten words are one window each and meet all n-grams of their length.
+items; each meeting is extended in both directions to all windows around it, and those that meet an item's window
+are hits, once their words have been compared. Windows of equal words are one, with the set of their items. Items of fewer than ten words are one window each and meet all n-grams of their length.
 
 The items' fingerprints are broadcast if their texts stay within about ITEM_WORDS words. Those of a larger
 benchmark are joined by shuffle: documents' fingerprints that equal an item's are extended to all windows around
@@ -24,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlode.llm.common import batches, chunks, extended, gram_hashes, lower_words, partitions, prepared, same_spans, stash, text_bytes, word_hashes, word_spans
+from medlode.llm.common import batches, chunks, extended, gram_hashes, gram_numbers, lower_words, partitions, prepared, same_spans, stash, text_bytes, word_hashes, word_numbers, word_spans
 
 WINDOW = 10
 GRAM = 5
-#: Words of benchmark items that one broadcast holds (8 bytes each, and twice that for fingerprints).
+#: Words of benchmark items that one broadcast holds (about 50 bytes each with their windows).
 ITEM_WORDS = 4_000_000
 #: A word of a text, for counts in Spark; the same words as lower_words cuts.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows of one record batch.
 BATCH_WINDOWS = 1 << 16
+#: Sets of items whose names a task remembers.
+KNOWN_NAMES = 10_000
 #: About how many bytes of a large benchmark a task gets.
 ITEM_BYTES = 16 << 20
 
@@ -55,25 +57,48 @@ def fingerprints(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> t
 
 
 class ItemIndex:
-    """Benchmark items: their words, fingerprints in order of hash, and the items shorter than a window."""
+    """Windows of benchmark items, each once with the set of its items, and the items' fingerprints.
+
+    A set that several windows have is held once, so a passage of all items is no list of them a window.
+    """
 
     def __init__(self, ids: list[str], texts: list[bytes]):
         lowered = [lower_words(t) for t in texts]
         words, offsets = word_hashes(lowered)
+        numbers = word_numbers(lowered)[0]
         self.spans = word_spans(lowered)[:3]
-        sizes = np.diff(offsets)
-        self.ids = np.array(ids, dtype=object)
-        self.words, self.offsets = words, offsets
-        self.owner = np.repeat(np.arange(len(ids)), sizes)
-        at, marks = fingerprints(words)
-        order = np.argsort(marks, kind="stable")
-        self.at, self.marks = at[order], marks[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({int(s) for s in sizes if 0 < s < WINDOW}):
-            own = np.flatnonzero(sizes == n)
-            keys = np.array([gram_hashes(words[offsets[i] : offsets[i] + n], n)[0] for i in own], dtype=np.uint64)
+        self.ids, self.sets, self.names = ids, [], {}
+        self.marks = np.unique(fingerprints(words)[1])
+        sizes, known = np.diff(offsets), {}
+        #: by length: hashes in order, the first word of a window with that hash, and its set
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(int(s), WINDOW) for s in sizes} - {0}):
+            own = np.flatnonzero(np.minimum(sizes, WINDOW) == n)
+            count = sizes[own] - n + 1
+            item = np.repeat(own, count)
+            firsts = np.repeat(offsets[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            kind = gram_numbers(numbers, n)[firsts]
+            one = np.unique(kind, return_index=True)[1]
+            pairs = np.unique(np.stack([kind, item], 1), axis=0)
+            held = np.split(pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0])) + 1)
+            sets = np.array([known.setdefault(x.tobytes(), len(known)) for x in held], np.int64)
+            self.sets += [None] * (len(known) - len(self.sets))
+            for k, x in zip(sets.tolist(), held, strict=True):
+                self.sets[k] = x
+            keys = gram_hashes(words, n, firsts[one])
             order = np.argsort(keys, kind="stable")
-            self.short[n] = keys[order], own[order]
+            self.windows[n] = keys[order], firsts[one][order], sets[order]
+
+    def named(self, sets: np.ndarray) -> tuple[int, str]:
+        """How many ids the items of some sets have, and the SHA-256 of them in order."""
+        key = sets.tobytes()
+        if key not in self.names:
+            if len(self.names) >= KNOWN_NAMES:
+                self.names.clear()
+            ids = {self.ids[k] for k in np.unique(np.concatenate([self.sets[s] for s in sets.tolist()])).tolist()}
+            joined = ",".join(sorted(x for x in ids if x is not None))
+            self.names[key] = len(ids), hashlib.sha256(joined.encode()).hexdigest()
+        return self.names[key]
 
 
 def _meet(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,35 +112,29 @@ def _meet(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(found, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def hits(words: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of documents with hashes as in items: their first words, lengths, and the first words in items."""
-    firsts, lengths, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def hits(words: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of documents with hashes as in items: their first words, lengths, and the items' first words and sets."""
+    firsts, lengths, others, sets = ([np.zeros(0, np.int64)] for _ in range(4))
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at, marks = fingerprints(words)
-    i, j = _meet(marks, index.marks)
-    p, q = at[i], index.at[j]
-    for back in range(WINDOW - GRAM + 1):
-        a, b = p - back, q - back
-        ok = (a >= 0) & (b >= 0) & (a + WINDOW <= len(words)) & (b + WINDOW <= len(index.words))
-        a, b = a[ok], b[ok]
-        same = (owner[a] == owner[a + WINDOW - 1]) & (index.owner[b] == index.owner[b + WINDOW - 1])
-        a, b = a[same], b[same]
-        for k in range(WINDOW):
-            same = words[a + k] == index.words[b + k]
-            a, b = a[same], b[same]
-        firsts.append(a), lengths.append(np.full(len(a), WINDOW)), others.append(b)
-    for n, (keys, own) in index.short.items():
-        i, j = _meet(gram_hashes(words, n), keys)
-        same = owner[i] == owner[i + n - 1] if len(i) else np.zeros(0, bool)
-        firsts.append(i[same]), lengths.append(np.full(same.sum(), n)), others.append(index.offsets[own[j[same]]])
-    return np.concatenate(firsts), np.concatenate(lengths), np.concatenate(others)
-
-
-def compared(blobs: list[bytes], offsets: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those windows whose words are the same: their first words, lengths and items. blobs are lower_words'."""
-    firsts, lengths, others = found
+    for n, (keys, first, own) in index.windows.items():
+        if n < WINDOW:
+            at = np.arange(max(len(words) - n + 1, 0))
+        else:
+            # all windows that a shared fingerprint can lie in
+            at, marks = fingerprints(words)
+            at = np.unique(at[_meet(marks, index.marks)[0]][:, None] - np.arange(WINDOW - GRAM + 1))
+            at = at[(at >= 0) & (at + WINDOW <= len(words))]
+        at = at[owner[at] == owner[at + n - 1]]
+        i, j = _meet(gram_hashes(words, n, at), keys)
+        firsts.append(at[i]), lengths.append(np.full(len(i), n)), others.append(first[j]), sets.append(own[j])
+    return np.concatenate(firsts), np.concatenate(lengths), np.concatenate(others), np.concatenate(sets)
+
+
+def compared(blobs: list[bytes], offsets: np.ndarray, found: tuple[np.ndarray, ...], index: ItemIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those windows whose words are the same: their first words, lengths and sets of items. blobs are lower_words'."""
+    firsts, lengths, others, sets = found
     if not len(firsts):
-        return found
+        return firsts, lengths, sets
     # only documents with such windows are cut into words again
     doc = np.searchsorted(offsets, firsts, "right") - 1
     docs, place = np.unique(doc, return_inverse=True)
@@ -128,11 +147,11 @@ def compared(blobs: list[bytes], offsets: np.ndarray, found: tuple[np.ndarray, n
     pairs, which = np.unique(np.stack([own, other], 1), axis=0, return_inverse=True)
     same = same_spans(arr, starts[pairs[:, 0]], ends[pairs[:, 0]], item, other_starts[pairs[:, 1]], other_ends[pairs[:, 1]])
     ok = np.logical_and.reduceat(same[which.ravel()], ends_of - lengths)
-    return firsts[ok], lengths[ok], index.owner[others[ok]]
+    return firsts[ok], lengths[ok], sets[ok]
 
 
-def _runs(words: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, items: np.ndarray, ids: np.ndarray):
-    """Per document with hits: runs of hit words, and the ids of its items."""
+def _runs(words: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, sets: np.ndarray, index: ItemIndex):
+    """Per document with hits: runs of hit words, and what its items are named."""
     if not len(firsts):
         return {}
     cover = np.zeros(len(words) + 1, np.int64)
@@ -145,10 +164,11 @@ def _runs(words: np.ndarray, offsets: np.ndarray, firsts: np.ndarray, lengths: n
         d = doc[part[0]]
         own = np.concatenate([[0], hit[offsets[d] : offsets[d + 1]].astype(np.int8), [0]])
         ends = np.flatnonzero(np.diff(own)).tolist()
-        found[int(d)] = [{"a": a, "b": b} for a, b in zip(ends[::2], ends[1::2], strict=True)], ids[np.unique(items[part])].tolist()
+        found[int(d)] = [{"a": a, "b": b} for a, b in zip(ends[::2], ends[1::2], strict=True)], index.named(np.unique(sets[part]))
     return found
 
 
+_NONE = hashlib.sha256(b"").hexdigest()
 _RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
@@ -159,12 +179,12 @@ def _scan(index):
             for i, j in chunks(texts):
                 lowered = [lower_words(t) for t in texts[i:j]]
                 words, offsets = word_hashes(lowered)
-                found = _runs(words, offsets, *compared(lowered, offsets, hits(words, offsets, known), known), known.ids)
-                own = [found.get(k, ([], [])) for k in range(j - i)]
+                found = _runs(words, offsets, *compared(lowered, offsets, hits(words, offsets, known), known), known)
+                own = [found.get(k, ([], (0, _NONE))) for k in range(j - i)]
                 kept = [n for n in b.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(n).slice(i, j - i) for n in kept), pa.array(np.diff(offsets)), pa.array([x[0] for x in own], _RUNS), pa.array([x[1] for x in own], pa.list_(pa.string()))],
-                    names=[*kept, "n_words", "runs", "items"],
+                    [*(b.column(n).slice(i, j - i) for n in kept), pa.array(np.diff(offsets)), pa.array([x[0] for x in own], _RUNS), pa.array([x[1][0] for x in own], pa.int64()), pa.array([x[1][1] for x in own], pa.string())],
+                    names=[*kept, "n_words", "runs", "n_items", "items_sha256"],
                 )
 
     return scan
@@ -290,15 +310,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         )
     rows = items.select("id", "text").orderBy("id").collect()
     index = ItemIndex([r.id for r in rows], [bytes(r.text) for r in rows])
-    schema = extended(own.schema, ("text",), "n_words bigint, runs array<struct<a:bigint,b:bigint>>, items array<string>")
+    schema = extended(own.schema, ("text",), "n_words bigint, runs array<struct<a:bigint,b:bigint>>, n_items bigint, items_sha256 string")
     found = own.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
-    names = F.array_sort(F.array_distinct("items"))
     return found.select(
         F.col("id").alias(id_col),
         F.col("n_words"),
         _merged(F.col("runs")).alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        "n_items",
+        "items_sha256",
         (F.size("runs") > 0).alias("contaminated"),
         *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)],
     )

@@ -642,3 +642,17 @@ def test_toxicity_scores_brute_force(spark, odd):
             worst.append(float(model.z[bag].astype(float).sum()) / max(len(bag), 1) + model.bias)
         want = 1 / (1 + np.exp(-(model.steep * max(worst, default=model.bias) + model.shift)))
         assert abs(r.score - want) < 1e-3
+
+
+def test_decontaminate_common_passage(spark):
+    """A passage that all items and documents hold is one window with one set of items, in both ways of joining."""
+    shared = " ".join(f"c{k}" for k in range(12))
+    items = spark.createDataFrame([(f"i{k % 900}", f"own{k} {shared} tail{k}") for k in range(1000)] + [(None, shared)], "item_id string, text string")
+    table = spark.createDataFrame([(k, f"x{k} {shared} y") for k in range(300)] + [(300, "own5 " + shared), (301, "c0 c1 c2")], "doc_id int, text string")
+    names = sorted(f"i{k}" for k in range(900))
+    for most in (decontaminate.ITEM_WORDS, 10):
+        got = {r.doc_id: r for r in decontaminate.contamination(table, items, item_words=most).collect()}
+        assert all((got[k].n_hit, got[k].n_items) == (12, 901) for k in range(300)) and got[300].n_hit == 13 and got[301].n_items == 0
+        assert {r.items_sha256 for k, r in got.items() if k < 301} == {hashlib.sha256(",".join(names).encode()).hexdigest()}
+    index = decontaminate.ItemIndex([str(k) for k in range(1000)], [f"own{k} {shared} tail{k}".encode() for k in range(1000)])
+    assert len(index.windows[10][0]) == 2003 and len(index.sets) == 1001
